@@ -83,7 +83,8 @@ def fit_log_ratio(docs: DataFrame, trusted: DataFrame, smoothing: float = SMOOTH
     """
     bounded_batches(docs.sparkSession)
     ids = trusted.select("doc_id").where("doc_id is not null").distinct().withColumn("trusted", F.lit(True))
-    marked = docs.select("doc_id", "text").join(ids, "doc_id", "left").select("text", "trusted")
+    # Dealt by id at every size: the ids grow with the labels, so none is sent to all executors.
+    marked = docs.select("doc_id", "text").join(ids.hint("shuffle_hash"), "doc_id", "left").select("text", "trusted")
     rows = (
         marked.mapInArrow(_count, "bucket int, raw long, target long")
         .groupBy("bucket")
@@ -138,7 +139,17 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESH
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(judge, SCHEMA)
 
 
-def keep_quality(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """The documents that quality_rules() keeps, all their columns; doc_id names a document."""
-    good = quality_rules(docs, trusted).where("kept").select("doc_id").distinct()
-    return docs.join(good, "doc_id", "left_semi").select(*docs.columns)
+def keep_quality(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that quality_rules() keeps, all their columns, filtered where they are read."""
+    bounded_batches(docs.sparkSession)
+    ratio = fit_log_ratio(docs, trusted)
+    at = docs.columns.index("text")
+
+    def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            yield batch.filter(
+                pa.array([not base_statistics(x)[-1] and score(x, ratio) >= threshold for x in texts], pa.bool_())
+            )
+
+    return docs.mapInArrow(good, docs.schema)

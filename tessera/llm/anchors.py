@@ -7,7 +7,7 @@ offsets, so windows can only be equal if their anchors share a hash; every windo
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,8 +25,8 @@ INVERSE = pow(BASE, -1, 1 << 64)
 PLACE_BITS = 24
 #: An anchor with more occurrences is dealt by its own hash and half a window more on either side.
 HOT = 4000
-#: Contexts that are resolved together.
-GROUP_ROWS = 40_000
+#: Bytes of contexts that are resolved together, or a key's if those are more.
+GROUP_BYTES = 2_500_000
 
 _POWERS: dict[int, np.ndarray] = {}
 
@@ -128,13 +128,19 @@ def anchor_rows(docs: DataFrame, units: Units) -> DataFrame:
     return docs.mapInArrow(run, "h long, doc long, t long, place int, before short, after short")
 
 
-def contexts(docs: DataFrame, units: Units) -> DataFrame:
-    """key, doc, t, place, before, after, context of every window whose anchor occurs twice or more.
+CONTEXT = "key long, doc long, t long, start int, end int, before short, context binary"
 
-    context: the units from the first window's start to the last one's end. Counts are summed in each
-    task before they are dealt, and the join on anchors can be split where one is frequent. Contexts of
-    a frequent anchor are dealt by the anchor and half a window beyond it, once for the windows that
-    reach that far to the right and once for the others, which reach as far to the left.
+
+def contexts(docs: DataFrame, units: Units, later_only: bool) -> DataFrame:
+    """key, doc, t, start, end, before, context of every window whose anchor occurs twice or more.
+
+    context: units start to end, from the start of an anchor's first window to the end of its last;
+    the anchor is `before` units into it. Counts are summed in each task before they are dealt, and
+    the join on anchors can be split where one is frequent. Contexts of a frequent anchor are dealt by
+    the anchor and half a window beyond it, once for the windows that reach that far to the right and
+    once for the others, which reach as far to the left. Of equal contexts of one document only the
+    first goes on; the others (without later_only the first too) are known to be repeated, and rows
+    without context name those units.
     """
     anchors = anchor_rows(docs, units)
     shared = anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
@@ -149,14 +155,16 @@ def contexts(docs: DataFrame, units: Units) -> DataFrame:
     over = units.window - units.k
     right = over // 2  # units beyond the anchor that a window of the right kind has at least
     left = over - right + 1
-    names = ["key", "doc", "t", "place", "before", "after", "context"]
+    fields = [x.split()[0] for x in CONTEXT.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
             for doc, t, text, found in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 cut = units.split(text)
-                for x in found:
+                seen: dict[tuple, tuple[int, int]] = {}
+                known: set[tuple[int, int]] = set()
+                for x in sorted(found, key=lambda x: x["place"]):
                     h, p = x["h"], x["place"]
                     if x["n"] <= HOT:
                         kinds = [(h, x["before"], x["after"])]
@@ -169,18 +177,25 @@ def contexts(docs: DataFrame, units: Units) -> DataFrame:
                             beyond = units.join(cut[p - left : p + units.k])
                             kinds.append((xxhash.xxh64_intdigest(beyond, 2), x["before"], max(x["after"], left)))
                     for key, before, after in kinds:
-                        key = (key + (1 << 63)) % (1 << 64) - (1 << 63)
-                        out.append((key, doc, t, p, before, after, units.join(cut[p - before : p - after + units.window])))
+                        span = (p - before, p - after + units.window)
+                        same = (key, before, context := units.join(cut[slice(*span)]))
+                        if same in seen:
+                            known.add(span)
+                            if not later_only:
+                                known.add(seen[same])
+                        else:
+                            seen[same] = span
+                            key = (key + (1 << 63)) % (1 << 64) - (1 << 63)
+                            out.append((key, doc, t, *span, before, context))
+                out += [(t, doc, t, start, end, 0, None) for start, end in merged(known)]
             columns = list(zip(*out, strict=True)) or [()] * 7
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.int16(), pa.binary()]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int16(), pa.binary()]
             for at in range(0, len(columns[0]), 20_000):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c[at : at + 20_000], k) for c, k in zip(columns, kinds, strict=True)], names=names
+                    [pa.array(c[at : at + 20_000], k) for c, k in zip(columns, kinds, strict=True)], names=fields
                 )
 
-    return texts.mapInArrow(
-        run, "key long, doc long, t long, place int, before short, after short, context binary"
-    )
+    return texts.mapInArrow(run, CONTEXT)
 
 
 #: Takes key, before, after and context of distinct contexts, groups together and earlier occurrences
@@ -199,18 +214,19 @@ def repeats(found: DataFrame, units: Units, resolve: Resolve, later_only: bool)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # of distinct contexts
+        size = 0
         twice: set[int] = set()
         seen: dict[tuple, int] = {}
         spans: list[tuple] = []
 
         def flush() -> None:
             if held:
-                keys, docs, ts, places, before, after, texts = zip(*held, strict=True)
-                for i in twice:
-                    spans.append((docs[i], ts[i], places[i] - before[i], places[i] - after[i] + window))
-                for i, start, end in resolve(keys, before, after, texts):
-                    first = places[i] - before[i]
-                    spans.append((docs[i], ts[i], first + start, first + end))
+                keys, docs, ts, starts, ends, before, texts = zip(*held, strict=True)
+                spans.extend((docs[i], ts[i], starts[i], ends[i]) for i in twice)
+                after = [b - (e - s - window) for s, e, b in zip(starts, ends, before, strict=True)]
+                spans.extend(
+                    (docs[i], ts[i], starts[i] + a, starts[i] + e) for i, a, e in resolve(keys, before, after, texts)
+                )
             held.clear()
             twice.clear()
 
@@ -225,18 +241,23 @@ def repeats(found: DataFrame, units: Units, resolve: Resolve, later_only: bool)
         last = None
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if row[0] != last:
+                key, doc, t, start, end, before, context = row
+                if context is None:
+                    spans.append((doc, t, start, end))
+                    continue
+                if key != last:
                     seen.clear()
-                    last = row[0]
-                    if len(held) > GROUP_ROWS:
+                    last = key
+                    if size > GROUP_BYTES:
                         flush()
-                same = (row[6], row[4], row[5])
-                i = seen.get(same)
+                        size = 0
+                i = seen.get((context, before))
                 if i is None:
-                    seen[same] = len(held)
+                    seen[context, before] = len(held)
                     held.append(row)
-                elif held[i][1:4] != row[1:4]:  # else a repeated row of the table
-                    spans.append((row[1], row[2], row[3] - row[4], row[3] - row[5] + window))
+                    size += len(context) + 100
+                elif held[i][1:4] != (doc, t, start):  # else a repeated row of the table
+                    spans.append((doc, t, start, end))
                     if not later_only:
                         twice.add(i)
             if len(spans) > 50_000:
@@ -244,7 +265,7 @@ def repeats(found: DataFrame, units: Units, resolve: Resolve, later_only: bool)
         flush()
         yield rows()
 
-    dealt = found.repartition("key").sortWithinPartitions("key", F.col("doc").asc_nulls_first(), "t", "place")
+    dealt = found.repartition("key").sortWithinPartitions("key", F.col("doc").asc_nulls_first(), "t", "start")
     return dealt.mapInArrow(run, "doc long, t long, start int, end int")
 
 
@@ -256,10 +277,10 @@ def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     ).select(docs.doc, "text", "spans")
 
 
-def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
+def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     """Spans as disjoint ones that don't touch, in order."""
     out: list[tuple[int, int]] = []
-    for a, b in sorted((x["start"], x["end"]) for x in spans or ()):
+    for a, b in sorted(spans):
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
@@ -267,6 +288,10 @@ def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
     return out
 
 
+def pairs(spans: list[dict] | None) -> Iterator[tuple[int, int]]:
+    return ((x["start"], x["end"]) for x in spans or ())
+
+
 def prepared(docs: DataFrame) -> DataFrame:
     bounded_batches(docs.sparkSession)
     return named(docs)

@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from .anchors import Units, contexts, merged, prepared, repeats, with_spans
+from .anchors import Units, contexts, merged, pairs, prepared, repeats, with_spans
 from .common import words
 
 #: Words of a repeat at least, and words of a seed.
@@ -99,7 +99,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, wit
     """
     units = word_units(window, seed)
     rows = prepared(docs)
-    spans = repeats(contexts(rows, units), units, extend(window), later_only=True)
+    spans = repeats(contexts(rows, units, True), units, extend(window), later_only=True)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -107,7 +107,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, wit
             for text, found in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 ws = words(text)
                 n, at, kept = len(ws), 0, []
-                for start, end in merged(found):
+                for start, end in merged(pairs(found)):
                     kept += ws[at:start]
                     at = end
                 kept += ws[at:]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import round_trip_digests
 from .common import table
+from .embeddings import near_duplicates
 from .quality import quality_rules
 from .substring import substring_dedup
 from .suffix import suffix_dedup
@@ -26,6 +27,10 @@ def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), trusted(spark, sf_dir))
 
@@ -47,6 +52,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_bpe": op7_bpe,
     "op8_substring_dedup": op8_substring_dedup,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
@@ -20,7 +21,7 @@ from .common import bounded_batches
 #: Words of one task that stay in its cache; beyond that it starts anew.
 CACHE_WORDS = 400_000
 #: Symbols that one call of merge_rounds takes at once.
-FLAT_SYMBOLS = 2_000_000
+FLAT_SYMBOLS = 60_000
 WORD_END = "</w>"
 #: The white space that the vocabulary's patterns call \s, as a range list of code points.
 WHITE_RANGES = [(0x9, 0xD), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A)] + [
@@ -32,6 +33,10 @@ def character_class(ranges: Iterable[tuple[int, int]]) -> str:
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
 
 
+def latin_class(major: str) -> list[tuple[int, int]]:
+    return [(i, i) for i in range(256) if unicodedata.category(chr(i))[0] == major]
+
+
 @lru_cache(maxsize=4)
 def category_class(major: str) -> str:
     """Code points of a general category by the Unicode version of unicodedata; regex may be years ahead
@@ -62,77 +67,112 @@ class WordBpe:
         for token, i in [*vocab.items(), *self.special.items()]:
             self.tokens[i] = token
         chars = byte_characters()
-        self.inner = np.array([vocab[c] for c in chars], dtype=np.int64)
-        self.final = np.array([vocab[c + WORD_END] for c in chars], dtype=np.int64)
+        self.inner = np.array([vocab[c] for c in chars], dtype=np.int32)
+        self.final = np.array([vocab[c + WORD_END] for c in chars], dtype=np.int32)
         self.size = len(self.tokens)
         left, right = (np.array([vocab[m[i]] for m in merges], dtype=np.int64) for i in (0, 1))
         made = np.array([vocab[a + b] for a, b in merges], dtype=np.int64)
         keys = left * self.size + right
         _, first = np.unique(keys[::-1], return_index=True)  # of a repeated pair the last rank counts
         order = len(keys) - 1 - first
-        self.keys, self.ranks, self.made = keys[order], order, made
+        self.keys, self.ranks, self.made = keys[order].astype(np.uint32), order.astype(np.int32), made.astype(np.int32)
+        self.none = np.int32(len(made))
         # A round may merge all places of a word's lowest pair unless what they make can merge at a lower rank.
         lowest = np.full(self.size, len(merges))
         for side in (left, right):
             np.minimum.at(lowest, side, np.arange(len(merges)))
         self.alone = lowest[made] < np.arange(len(merges))
-        white, letter, number = character_class(WHITE_RANGES), category_class("L"), category_class("N")
-        self.space = regex.compile(f"[{white}]+")
-        self.pieces = regex.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{white}{letter}{number}]+")
+        self.any_alone = bool(self.alone.any())
+        white = character_class(WHITE_RANGES)
+        split = f"'s|'t|'re|'ve|'m|'ll|'d|[{{0}}]+|[{{1}}]|[^{white}{{0}}{{1}}]+"
+        self.pieces = regex.compile(split.format(r"\p{L}", r"\p{N}"))
+        self.latin_pieces = re.compile(split.format(*(character_class(latin_class(x)) for x in "LN")))
+        # long lists of ranges are slow, so they serve only texts with a character that regex alone counts
+        letter, number = category_class("L"), category_class("N")
+        self.newer = regex.compile(rf"(?V1)[[\p{{L}}\p{{N}}]--[{letter}{number}]]")
+        self.exact_pieces = regex.compile(split.format(letter, number))
         self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.cache: dict[str, bytes] = {}
 
     def split(self, text: str) -> list[str]:
-        """Special tokens and words of a text, in order; a special token keeps its own string."""
+        """Special tokens and words of a text, in order; a special token keeps its own string.
+
+        White space needs no replacing here: no word holds any. Latin-1 text is in normal form and has
+        a short pattern of its own.
+        """
+        if "<|" not in text:
+            return self.split_plain(text)
         out: list[str] = []
         for i, part in enumerate(self.marks.split(text)):
-            if i % 2:
-                out.append(part)
-            elif part:
-                if not part.isascii():
-                    part = unicodedata.normalize("NFC", part)
-                part = self.space.sub(" ", part)
-                # lower case letter by letter: a capital sigma has one small form here wherever it stands
-                out += self.pieces.findall(part.replace("Σ", "σ").lower())
+            out += [part] if i % 2 else self.split_plain(part)
         return out
 
+    def split_plain(self, text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            text = unicodedata.normalize("NFC", text)
+            pieces = self.exact_pieces if self.newer.search(text) else self.pieces
+            # lower case letter by letter: a capital sigma has one small form here wherever it stands
+            return pieces.findall(text.replace("Σ", "σ").lower())
+        return self.latin_pieces.findall(text.lower())
+
+    def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left.astype(np.uint32) * np.uint32(self.size) + right.astype(np.uint32)
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        return np.where(self.keys[at] == keys, self.ranks[at], self.none)
+
     def merge_rounds(self, words: list[bytes]) -> list[bytes]:
-        """Token ids of each word (not empty), as little-endian unsigned 32-bit integers."""
+        """Token ids of each word (not empty), as little-endian unsigned 32-bit integers.
+
+        Symbols of all words stand in one array; rank[i] is that of symbols i and i + 1 of one word.
+        A round merges the lowest pair of each word and looks up only the pairs that this made anew.
+        """
         flat = np.frombuffer(b"".join(words), dtype=np.uint8)
         length = np.array([len(w) for w in words], dtype=np.int64)
         ends = np.cumsum(length)
         sym = self.inner[flat]
         sym[ends - 1] = self.final[flat[ends - 1]]
-        word = np.repeat(np.arange(len(words)), length)
+        word = np.repeat(np.arange(len(words), dtype=np.int32), length)
+        rank = np.full(len(sym), self.none, dtype=np.int32)
+        if len(sym) > 1:
+            inside = np.flatnonzero(word[1:] == word[:-1])
+            rank[inside] = self.pair_ranks(sym[inside], sym[inside + 1])
         done: list[tuple[np.ndarray, np.ndarray]] = []
-        none = len(self.made)
         while len(sym):
             starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            keys = sym[:-1] * self.size + sym[1:]
-            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            rank = np.full(len(sym), none)
-            rank[:-1] = np.where((self.keys[at] == keys) & (word[1:] == word[:-1]), self.ranks[at], none)
             best = np.minimum.reduceat(rank, starts)
             each = np.repeat(best, np.diff(np.r_[starts, len(sym)]))
-            if (over := each == none).any():
-                done.append((word[over], sym[over]))
-                keep = ~over
+            keep = each != self.none
+            if not keep.all():
+                done.append((word[~keep], sym[~keep]))
                 sym, word, rank, each = sym[keep], word[keep], rank[keep], each[keep]
                 if not len(sym):
                     break
-            hit = rank == each
-            place = np.flatnonzero(hit)
+            place = np.flatnonzero(rank == each)
             # of places that overlap, every second from the left; of a pair that must go alone, the first
-            run = np.r_[True, place[1:] != place[:-1] + 1]
-            begun = np.maximum.accumulate(np.where(run, np.arange(len(place)), 0))
-            first = np.r_[True, word[place[1:]] != word[place[:-1]]]
-            take = np.where(self.alone[rank[place]], first, (np.arange(len(place)) - begun) % 2 == 0)
-            place = place[take]
-            sym = sym.copy()
+            if len(place) > 1:
+                run = np.r_[True, place[1:] != place[:-1] + 1]
+                nth = np.arange(len(place))
+                take = (nth - np.maximum.accumulate(np.where(run, nth, 0))) % 2 == 0
+                if self.any_alone:
+                    first = np.r_[True, word[place[1:]] != word[place[:-1]]]
+                    take = np.where(self.alone[rank[place]], first, take)
+                place = place[take]
             sym[place] = self.made[rank[place]]
             keep = np.ones(len(sym), dtype=bool)
             keep[place + 1] = False
-            sym, word = sym[keep], word[keep]
+            at = place - np.arange(len(place))
+            rank[place] = self.none
+            sym, word, rank = sym[keep], word[keep], rank[keep]
+            fresh = np.zeros(len(sym) + 1, dtype=bool)
+            fresh[at] = fresh[at - 1] = True
+            anew = np.flatnonzero(fresh[: len(sym) - 1])
+            same = word[anew] == word[anew + 1]
+            rank[anew[~same]] = self.none
+            anew = anew[same]
+            rank[anew] = self.pair_ranks(sym[anew], sym[anew + 1])
         all_words, all_ids = (np.concatenate(x) for x in zip(*done, strict=True))
         order = np.argsort(all_words, kind="stable")
         ids = all_ids[order].astype("<u4")

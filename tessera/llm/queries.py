@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import round_trip_digests
 from .common import table
 from .embeddings import near_duplicates
+from .mixing import mixture, mixture_sql
 from .orderhash import near_copies
 from .quality import quality_rules
 from .substring import substring_dedup
@@ -36,6 +38,12 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixture(table(spark, sf_dir, "documents")).withColumn("probability", F.round("probability", 6))
+    cell = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("source", "lang")]
+    return found.select("doc_id", *cell, "topic", "n_tokens", "probability", "kept")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), trusted(spark, sf_dir))
 
@@ -59,6 +67,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
+    "op4_mixing": op4_mixing,
     "op6_quality_rules": op6_quality_rules,
     "op7_bpe": op7_bpe,
     "op8_substring_dedup": op8_substring_dedup,
@@ -66,4 +75,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_mixing": mixture_sql(),
+}

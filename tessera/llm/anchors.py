@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, mix64
@@ -43,16 +43,25 @@ def powers(base: int, n: int) -> np.ndarray:
     return known[:n]
 
 
+def prefix_sums(units: np.ndarray) -> np.ndarray:
+    sums = np.empty(len(units) + 1, dtype=np.uint64)
+    sums[0] = 0
+    with np.errstate(over="ignore"):
+        np.cumsum((units.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(units)), out=sums[1:])
+    return sums
+
+
+def slice_hashes(sums: np.ndarray, start: np.ndarray | slice, end: np.ndarray | slice, inverse: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix64((sums[end] - sums[start]) * inverse)
+
+
 def gram_hashes(units: np.ndarray, k: int) -> np.ndarray:
     """A hash of each k consecutive units."""
     n = len(units) - k + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        sums = np.empty(len(units) + 1, dtype=np.uint64)
-        sums[0] = 0
-        np.cumsum((units.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(units)), out=sums[1:])
-        return mix64((sums[k:] - sums[:-k]) * powers(INVERSE, n))
+    return slice_hashes(prefix_sums(units), slice(0, -k), slice(k, None), powers(INVERSE, n))
 
 
 def sliding_least(x: np.ndarray, w: int) -> np.ndarray:
@@ -68,12 +77,16 @@ def sliding_least(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[w - 1 : w - 1 + n])
 
 
-def winnow(units: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """hash, place, first and last window start of each anchor of a text, by place."""
-    grams, w = gram_hashes(units, k), window - k + 1
-    n = len(grams) - w + 1
+def winnow(units: np.ndarray, k: int, window: int) -> tuple[np.ndarray, ...]:
+    """Of each anchor of a text, by place: hash, hash of its context, place, first and last window start.
+
+    The context is all that the anchor's windows cover; its hash tells its extent from the anchor too.
+    """
+    n = len(units) - window + 1
     if n <= 0:
-        return (np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)))
+        return (*(np.zeros(0, np.uint64) for _ in range(2)), *(np.zeros(0, np.int64) for _ in range(3)))
+    sums, inverse, w = prefix_sums(units), powers(INVERSE, len(units)), window - k + 1
+    grams = slice_hashes(sums, slice(0, -k), slice(k, None), inverse[: len(units) - k + 1])  # as gram_hashes()
     chosen = np.empty(n, dtype=np.int64)
     low = np.uint64((1 << PLACE_BITS) - 1)
     step = (1 << PLACE_BITS) - w
@@ -82,8 +95,12 @@ def winnow(units: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarr
         marked = (part & ~low) | np.arange(len(part), dtype=np.uint64)
         chosen[at : at + step] = (sliding_least(marked, w) & low).astype(np.int64) + at
     first = np.flatnonzero(np.r_[True, chosen[1:] != chosen[:-1]])
-    place = chosen[first]
-    return grams[place], place, first, np.r_[first[1:] - 1, n - 1]
+    place, last = chosen[first], np.r_[first[1:] - 1, n - 1]
+    context = slice_hashes(sums, first, last + window, inverse[first])
+    with np.errstate(over="ignore"):
+        extent = ((place - first) * 65536 + (place - last)).astype(np.uint64)
+        context = mix64(context + extent * np.uint64(BASE))
+    return grams[place], context, place, first, last
 
 
 @dataclass(frozen=True)
@@ -105,49 +122,64 @@ def named(docs: DataFrame) -> DataFrame:
 
 
 def anchor_rows(docs: DataFrame, units: Units) -> DataFrame:
-    """h, doc, t, place, before, after: an anchor and how many units before it its windows begin at most and at least."""
+    """h, c, doc, t, place, before, after: an anchor's hash and its context's, and how many units before
+    its place its windows begin at most and at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [winnow(units.number(units.split(x)), units.k, units.window) for x in b.column(2).to_pylist()]
-            sizes = np.array([len(x[0]) for x in found], dtype=np.int64)
-            rows = np.repeat(np.arange(len(found)), sizes)
-            h, place, first, last = (np.concatenate(x) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 4
+            if not found:
+                continue
+            rows = pa.array(np.repeat(np.arange(len(found)), [len(x[0]) for x in found]))
+            h, c, place, first, last = (np.concatenate(x) for x in zip(*found, strict=True))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(h.astype(np.uint64).view(np.int64)),
-                    b.column(0).take(pa.array(rows)),
-                    b.column(1).take(pa.array(rows)),
+                    pa.array(h.view(np.int64)),
+                    pa.array(c.view(np.int64)),
+                    b.column(0).take(rows),
+                    b.column(1).take(rows),
                     pa.array(place.astype(np.int32)),
                     pa.array((place - first).astype(np.int16)),
                     pa.array((place - last).astype(np.int16)),
                 ],
-                names=["h", "doc", "t", "place", "before", "after"],
+                names=["h", "c", "doc", "t", "place", "before", "after"],
             )
 
-    return docs.mapInArrow(run, "h long, doc long, t long, place int, before short, after short")
+    return docs.mapInArrow(run, "h long, c long, doc long, t long, place int, before short, after short")
 
 
 CONTEXT = "key long, doc long, t long, start int, end int, before short, context binary"
 
 
 def contexts(docs: DataFrame, units: Units, later_only: bool) -> DataFrame:
-    """key, doc, t, start, end, before, context of every window whose anchor occurs twice or more.
+    """key, doc, t, start, end, before, context of anchors that other contexts share.
 
     context: units start to end, from the start of an anchor's first window to the end of its last;
-    the anchor is `before` units into it. Counts are summed in each task before they are dealt, and
-    the join on anchors can be split where one is frequent. Contexts of a frequent anchor are dealt by
-    the anchor and half a window beyond it, once for the windows that reach that far to the right and
-    once for the others, which reach as far to the left. Of equal contexts of one document only the
-    first goes on; the others (without later_only the first too) are known to be repeated, and rows
-    without context name those units.
+    the anchor is `before` units into it. Where an anchor's context has occurred as a whole (by the
+    hashes of anchor and context, 128 bits together), its units are known to be repeated: without
+    later_only in all occurrences, with it in all but the first. A row without context names such
+    units. Texts are fetched only for the first occurrence of a context, and only if its anchor has
+    another context too. Contexts of a frequent anchor are dealt by the anchor and half a window beyond
+    it, once for the windows that reach that far to the right and once for the others, which reach as
+    far to the left.
     """
+    order = [F.col("doc").asc_nulls_first(), F.col("t"), F.col("place")]
     anchors = anchor_rows(docs, units)
-    shared = anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    by_anchor, by_context = Window.partitionBy("h"), Window.partitionBy("h", "c")
+    ranked = (
+        # places are ranked, not rows: a row that repeats a row of the table is no further occurrence
+        anchors.withColumn("nth", F.dense_rank().over(by_context.orderBy(*order)))
+        .withColumn("copies", F.lit(2) if later_only else F.max("nth").over(by_context))
+        .withColumn("least", F.min("c").over(by_anchor))
+        .withColumn("most", F.max("c").over(by_anchor))
+        .withColumn("n", F.count("*").over(by_anchor))
+    )
+    whole = (F.col("nth") > 1) if later_only else (F.col("copies") > 1)
+    open_ = (F.col("nth") == 1) & (F.col("least") != F.col("most"))
     places = (
-        anchors.join(shared.hint("merge"), "h")
+        ranked.where(whole | open_)
         .groupBy("doc", "t")
-        .agg(F.collect_list(F.struct("h", "n", "place", "before", "after")).alias("places"))
+        .agg(F.collect_list(F.struct(whole.alias("whole"), open_.alias("open"), "h", "n", "place", "before", "after")).alias("places"))
     )
     texts = docs.join(
         places.hint("shuffle_hash"), docs.doc.eqNullSafe(places.doc) & (docs.t == places.t)
@@ -162,9 +194,10 @@ def contexts(docs: DataFrame, units: Units, later_only: bool) -> DataFrame:
             out: list[tuple] = []
             for doc, t, text, found in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 cut = units.split(text)
-                seen: dict[tuple, tuple[int, int]] = {}
-                known: set[tuple[int, int]] = set()
-                for x in sorted(found, key=lambda x: x["place"]):
+                known = [(x["place"] - x["before"], x["place"] - x["after"] + units.window) for x in found if x["whole"]]
+                for x in found:
+                    if not x["open"]:
+                        continue
                     h, p = x["h"], x["place"]
                     if x["n"] <= HOT:
                         kinds = [(h, x["before"], x["after"])]
@@ -177,16 +210,9 @@ def contexts(docs: DataFrame, units: Units, later_only: bool) -> DataFrame:
                             beyond = units.join(cut[p - left : p + units.k])
                             kinds.append((xxhash.xxh64_intdigest(beyond, 2), x["before"], max(x["after"], left)))
                     for key, before, after in kinds:
-                        span = (p - before, p - after + units.window)
-                        same = (key, before, context := units.join(cut[slice(*span)]))
-                        if same in seen:
-                            known.add(span)
-                            if not later_only:
-                                known.add(seen[same])
-                        else:
-                            seen[same] = span
-                            key = (key + (1 << 63)) % (1 << 64) - (1 << 63)
-                            out.append((key, doc, t, *span, before, context))
+                        start, end = p - before, p - after + units.window
+                        key = (key + (1 << 63)) % (1 << 64) - (1 << 63)
+                        out.append((key, doc, t, start, end, before, units.join(cut[start:end])))
                 out += [(t, doc, t, start, end, 0, None) for start, end in merged(known)]
             columns = list(zip(*out, strict=True)) or [()] * 7
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int16(), pa.binary()]

@@ -10,11 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .anchors import Units, contexts, merged, pairs, prepared, repeats, with_spans
+from .common import mix64
 
 #: Bytes of a repeat at least, and bytes of an anchor.
 WINDOW, SEED = 200, 48
 #: Bits of one name where three fit one integer.
 NAME_BITS = 21
+#: A fixed 64-bit number for each byte, which hashes are made of.
+BYTE_NUMBERS = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def _bytes(text: str | None) -> bytes:
@@ -22,7 +25,7 @@ def _bytes(text: str | None) -> bytes:
 
 
 def byte_units(window: int = WINDOW, seed: int = SEED) -> Units:
-    return Units(seed, window, _bytes, lambda b: np.frombuffer(b, dtype=np.uint8), bytes)
+    return Units(seed, window, _bytes, lambda b: BYTE_NUMBERS[np.frombuffer(b, dtype=np.uint8)], bytes)
 
 
 def _order(*parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import round_trip_digests
+from .chat import DIGESTS_SQL, EXTRA, digests, windows
 from .common import table
 from .embeddings import near_duplicates
 from .mixing import mixture, mixture_sql
@@ -38,6 +39,17 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op3_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extra = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(EXTRA).alias("text"),
+    )
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return digests(windows(turns.unionByName(extra)))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixture(table(spark, sf_dir, "documents")).withColumn("probability", F.round("probability", 6))
     cell = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("source", "lang")]
@@ -67,6 +79,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
+    "op3_chat_windows": op3_chat_windows,
     "op4_mixing": op4_mixing,
     "op6_quality_rules": op6_quality_rules,
     "op7_bpe": op7_bpe,
@@ -76,5 +89,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_chat_windows": DIGESTS_SQL,
     "op4_mixing": mixture_sql(),
 }

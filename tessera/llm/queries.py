@@ -14,6 +14,7 @@ from .embeddings import near_duplicates
 from .mixing import mixture, mixture_sql
 from .orderhash import near_copies
 from .quality import quality_rules
+from .secrets import secret_scan
 from .substring import substring_dedup
 from .suffix import suffix_dedup
 from .tokencount import token_counts
@@ -56,6 +57,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *cell, "topic", "n_tokens", "probability", "kept")
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), trusted(spark, sf_dir))
 
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_chat_windows": op3_chat_windows,
     "op4_mixing": op4_mixing,
+    "op5_secret_scan": op5_secret_scan,
     "op6_quality_rules": op6_quality_rules,
     "op7_bpe": op7_bpe,
     "op8_substring_dedup": op8_substring_dedup,

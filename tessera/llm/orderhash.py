@@ -17,8 +17,9 @@ from .substring import word_numbers
 #: Words of a k-mer, k-mers of one sketch entry, and entries of a sketch.
 KMER, TAKEN, ENTRIES = 5, 2, 48
 SIMILARITY = 0.8
-#: Documents just before a document in an entry that it is compared with, besides the first of its size.
-NEIGHBOURS = 3
+#: Documents before a document in an entry that it is compared with, besides the firsts of its size; then,
+#: while links are still found, those of other groups that it is compared with, and rounds of that at most.
+NEIGHBOURS, OTHERS, ROUNDS = 3, 24, 4
 #: Hash values that stand in memory at once, and texts that a task remembers to sketch copies once.
 FLAT, REMEMBERED = 1 << 20, 200_000
 _MULTIPLIERS = mix64(np.arange(1, ENTRIES + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
@@ -36,8 +37,10 @@ def labelled_kmers(numbers: np.ndarray, k: int = KMER) -> np.ndarray:
     at = np.arange(len(g))
     nth = np.empty(len(g), dtype=np.uint64)
     nth[order] = at - np.maximum.accumulate(np.where(same, 0, at))
+    again = nth > 0
     with np.errstate(over="ignore"):
-        return mix64(g + nth * np.uint64(0xC2B2AE3D27D4EB4F))
+        g[again] = mix64(g[again] + nth[again] * np.uint64(0xC2B2AE3D27D4EB4F))
+    return g
 
 
 def sketch(numbers: np.ndarray) -> np.ndarray:
@@ -143,24 +146,61 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) from rows of an entry by number of words: each document with those just before it and
-    with the firsts of its size class and the one before; a class ends where SIMILARITY can't reach its
-    first any more. So a group of n copies gives a few times n pairs, which tie it together."""
-    entry, firsts, before = None, [], []
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by their first column, those whose value of it isn't alone."""
+    held = None
     for b in batches:
-        found = set()
-        for e, i, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if e != entry:
-                entry, firsts, before = e, [], []
-            for j, size in {*firsts, *before}:
-                if size >= SIMILARITY * n - 1e-9 and i != j:
-                    found.add((min(i, j), max(i, j)))
-            before = [*before[1 - NEIGHBOURS :], (i, n)]
-            if not firsts or firsts[-1][1] < SIMILARITY * n:
-                firsts = [*firsts[-1:], (i, n)]
-        left, right = zip(*found, strict=True) if found else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+        if held is not None:
+            b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+        e = b.column(0).to_numpy()
+        same = e[1:] == e[:-1]
+        keep = np.r_[False, same] | np.r_[same, False]
+        # the last row waits for what follows; one before it with its value goes along as a witness
+        tail = 2 if len(e) > 1 and same[-1] else 1
+        cut = len(e) - 1
+        yield b.slice(0, cut).filter(pa.array(keep[:cut] & ~_witness(held, len(e))[:cut]))
+        held = b.slice(len(e) - tail)
+    if held is not None and len(held) > 1:
+        yield held.slice(1)
+
+
+def _witness(held: pa.RecordBatch | None, n: int) -> np.ndarray:
+    """The first row of a batch has gone out already if two rows were held back."""
+    out = np.zeros(n, dtype=bool)
+    out[0] = held is not None and len(held) > 1
+    return out
+
+
+def _candidates(reach: int):
+    """Pairs (a, b) from rows (entry, id, n, component) of an entry by number of words: each document with
+    the `reach` documents of other groups before it, and with the firsts of its size class and the one
+    before; a class ends where SIMILARITY can't reach its first any more. The number of pairs is in
+    proportion to the rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entry, firsts, before = None, [], []
+        for b in batches:
+            found = set()
+            for e, i, n, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                if e != entry:
+                    entry, firsts, before = e, [], []
+                near = 0
+                for j, size, other in reversed(before):
+                    if size < SIMILARITY * n - 1e-9 or near == reach:
+                        break
+                    if other != c:
+                        near += 1
+                        found.add((min(i, j), max(i, j)))
+                for j, size, other in firsts:
+                    if size >= SIMILARITY * n - 1e-9 and other != c:
+                        found.add((min(i, j), max(i, j)))
+                before = [*before[-8 * reach :], (i, n, c)]
+                if not firsts or firsts[-1][1] < SIMILARITY * n:
+                    firsts = [*firsts[-1:], (i, n, c)]
+            left, right = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+    return run
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,23 +222,43 @@ def groups(docs: DataFrame) -> DataFrame:
     is the smallest id of the group.
 
     Two documents are near copies if 1 - word edits / words of the longer is SIMILARITY or more. Documents
-    of equal words are grouped by digest; others meet in the entries of their sketches, and each pair
-    that meets is verified by banded alignment. Groups are the connected components.
+    of equal words are grouped by digest; others meet in the entries of their sketches, and pairs that
+    meet are verified by banded alignment. Groups are the connected components. A first round compares
+    each document with a few that stand near it in each entry, further ones with those of other groups,
+    as two documents of one group need no comparing. A pair is only left out where in each entry that
+    it shares more than OTHERS documents of other groups stand between; near copies share entries that
+    hold little else, and tests/llm measures that none is lost.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null and text is not null")
     entries = rows.mapInArrow(_sketched, "entry long, id long, n int")
-    met = entries.repartition("entry").sortWithinPartitions("entry", "n", "id").mapInArrow(_candidates, "a long, b long")
-    pairs = written_table(met.distinct(), "candidates")
-    left = rows.select(F.col("id").alias("a"), F.col("text").alias("x"))
-    right = rows.select(F.col("id").alias("b"), F.col("text").alias("y"))
-    texts = right.join(left.join(pairs.hint("shuffle_hash"), "a").hint("shuffle_hash"), "b").select("a", "b", "x", "y")
-    near = texts.mapInArrow(_verified, "a long, b long")
+    dealt = entries.repartition("entry").sortWithinPartitions("entry")
+    met = written_table(dealt.mapInArrow(_shared, "entry long, id long, n int"), "entries")
+    ids = met.select("id").distinct().hint("shuffle_hash")
+    texts = written_table(rows.join(ids, "id", "left_semi"), "texts")
+    left = texts.select(F.col("id").alias("a"), F.col("text").alias("x"))
+    right = texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
     classes = rows.mapInArrow(_same_words, "id long, same binary").where("same is not null")
     least = classes.groupBy("same").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
     copies = classes.join(least.hint("merge"), "same").select("a", F.col("id").alias("b"))
-    return components(near.union(copies))
+    links = written_table(copies, "copies")
+    found, tested = components(links), None
+    for nth in range(ROUNDS):
+        placed = met.join(found.hint("merge"), "id", "left").select("entry", "id", "n", F.coalesce("component", "id").alias("c"))
+        placed = placed.repartition("entry").sortWithinPartitions("entry", "n", "id")
+        pairs = placed.mapInArrow(_candidates(OTHERS if nth else NEIGHBOURS), "a long, b long").distinct()
+        if tested is not None:
+            pairs = pairs.join(tested.hint("merge"), ["a", "b"], "left_anti")
+        pairs = written_table(pairs, "pairs")
+        both = right.join(left.join(pairs.hint("shuffle_hash"), "a").hint("shuffle_hash"), "b").select("a", "b", "x", "y")
+        near = written_table(both.mapInArrow(_verified, "a long, b long"), "near")
+        if near.isEmpty():
+            break
+        links = links.union(near)
+        found = components(links)
+        tested = pairs if tested is None else tested.union(pairs)
+    return found
 
 
 def near_copies(docs: DataFrame) -> DataFrame:

@@ -14,8 +14,9 @@ from .common import bounded_batches, words
 
 #: Bytes of one n-gram, and buckets that the n-grams are hashed to. The model is one number a bucket.
 NGRAM, BUCKETS = 4, 1 << 16
-#: Added to each bucket's count in both multinomials.
-SMOOTHING = 1.0
+#: Added to each bucket's count in the target, and in proportion to their sizes in the corpus, so that an
+#: n-gram that is too rare to be expected in the target says little.
+SMOOTHING = 3.0
 #: Mean log ratio of an n-gram, in nats, below which a document goes.
 THRESHOLD = -0.2
 SYMBOLS, SPACES = b"#*$%&|<>", b" \t\n\x0b\x0c\r"
@@ -95,8 +96,9 @@ def fit_log_ratio(docs: DataFrame, trusted: DataFrame, smoothing: float = SMOOTH
     raw[rows["bucket"]], target[rows["bucket"]] = rows["raw"], rows["target"]
     if not target.sum():
         return None
-    share = lambda n: np.log((n + smoothing) / (n.sum() + smoothing * BUCKETS))
-    return share(target) - share(raw)
+    ratio = target.sum() / raw.sum()
+    # both multinomials' totals, with what is added to them, cancel
+    return np.log((target + smoothing) / (ratio * raw + smoothing))
 
 
 def score(text: str | None, log_ratio: np.ndarray | None) -> float:

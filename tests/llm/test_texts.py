@@ -1,0 +1,158 @@
+"""Operators on single texts, chat windows and mixing."""
+
+import hashlib
+
+import numpy as np
+import pytest
+
+from tessera.llm import quality as q
+from tessera.llm.bpe import decode, encode, round_trip_digests, word_bpe
+from tessera.llm.chat import digests, windows
+from tessera.llm.mixing import _fit_table, fit_cells, keep_mixture, mixture
+from tessera.llm.secrets import Finding, labelled_findings, mask_secrets, secret_scan, features, train
+from tessera.llm.tokencount import UnigramCounter, token_counts
+
+from .conftest import odd_texts, prose
+
+P = pytest.importorskip("public_tokenizers")
+
+
+def test_base_statistics():
+    def brute(text):
+        ws = (text or "").encode().split()
+        wins = [tuple(ws[i : i + 5]) for i in range(len(ws) - 4)]
+        hit = {i + k for i, w in enumerate(wins) if wins.count(w) > 1 for k in range(5)}
+        lines = [x for x in (text or "").split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+        return len(ws), sum(len(w.decode()) for w in ws), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(hit)
+
+    for t in ("a b c d e f a b c d e", "x # y\nx # y\n\n\n x # y", "é\xa0ü\x85 \x1c b", None, "", "a " * 30, prose(1, 300)):
+        assert q.base_statistics(t)[:5] == brute(t)
+
+
+def test_quality(spark, odd, none):
+    good, junk = [prose(i, 80) for i in range(40)], ["".join(f"{w}$$$ ###" for w in prose(i, 60).split()) for i in range(100, 110)]
+    docs = spark.createDataFrame(list(enumerate(good + junk)), "doc_id long, text string")
+    trusted = spark.createDataFrame([(i,) for i in range(0, 40, 2)], "doc_id long")
+    got = {r.doc_id: r for r in q.quality_rules(docs, trusted).collect()}
+    assert [got[i].kept for i in range(50)] == [True] * 40 + [False] * 10
+    raw, target = (sum(np.bincount(q.hashed_ngrams(t), minlength=q.BUCKETS) for t in ts).astype(float) for ts in (good + junk, good[::2]))
+    added = q.SMOOTHING * raw.sum() / target.sum()
+    share = lambda n, s: (n + s) / (n.sum() + s * q.BUCKETS)
+    ratio = np.log(share(target, q.SMOOTHING) / share(raw, added))
+    assert all(got[i].llr == pytest.approx(q.score(t, ratio), abs=1e-6) for i, t in enumerate(good + junk))
+    assert sorted(r.doc_id for r in q.keep_quality(docs, trusted).collect()) == list(range(40))
+    rows = q.quality_rules(odd, trusted.limit(0)).collect()
+    assert len(rows) == len(odd_texts()) and all(r.llr == 0 and r.kept != r.base_failed for r in rows)
+    assert q.keep_quality(odd, trusted).columns == odd.columns and q.quality_rules(none, trusted).collect() == []
+
+
+def test_bpe_is_the_librarys(spark, odd, none):
+    tokenizers = pytest.importorskip("tokenizers")
+    path = P.path("word_bpe_49k.json")
+    lib = tokenizers.Tokenizer.from_file(path)
+    got = encode(odd, path)
+    texts = [t for _, t, *_ in odd_texts()]
+    want = [lib.encode(t or "", add_special_tokens=False).ids for t in texts]
+    back = decode(got, path)
+    assert sorted(map(str, want)) == sorted(str(r.ids) for r in got.collect()) and set(odd.columns) < set(got.columns)
+    assert sorted(lib.decode(w, skip_special_tokens=False) for w in want) == sorted(r.decoded for r in back.collect())
+    digest = lambda ids: hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest()
+    assert sorted(map(digest, want)) == sorted(r.ids_sha256 for r in round_trip_digests(odd, path).collect())
+    assert encode(none, path).collect() == []
+    hard = ["a" * 3000, "!" * 999 + "ßẞ", "don't we'LL 'tis", "ǅͅ é", "<|startoftext|>x<|endoftext|", "՘x", "ΑΣ ΑΣΑ", "\x1c\x85 "]
+    for t, raw in zip(hard, word_bpe(path).encode_batch(hard), strict=True):
+        assert np.frombuffer(raw, dtype="<u4").tolist() == lib.encode(t, add_special_tokens=False).ids
+
+
+def test_token_counts(odd, none):
+    path = P.path("piece_bpe_32k.model")
+    c = UnigramCounter(path)
+
+    def brute(word):
+        text, best = word.replace(" ", "▁"), [(0.0, 0)]
+        for end in range(1, len(text) + 1):
+            n = len(text[end - 1].encode())
+            top = (best[end - 1][0] - 20.0 * n, best[end - 1][1] + n)
+            for start in reversed(range(max(0, end - c.longest), end)):
+                if (s := c.scores.get(text[start:end])) is not None and best[start][0] + s >= top[0]:
+                    top = (best[start][0] + s, best[start][1] + 1)
+            best.append(top)
+        return best[-1][1]
+
+    want = sorted((str(d), len(c.split(t or "")), sum(map(brute, c.split(t or "")))) for d, t, *_ in odd_texts() if len(t or "") < 5000)
+    got = sorted((str(r.doc_id), r.n_pretokens, r.n_tokens) for r in token_counts(odd, path).collect() if r.n_pretokens < 900)
+    assert got == want and token_counts(none, path).collect() == []
+
+
+def test_forest():
+    held = labelled_findings(1500, 123)
+    forest = train(labelled_findings(1500, 7))
+    p = forest.predict(np.array([features(f.before, f.candidate, f.after) for f in held], dtype=float)) >= 0.5
+    y = np.array([f.secret for f in held])
+    assert (p == y).mean() >= 0.98 and p[y].mean() >= 0.98
+    assert train([Finding("", "a" * 20, "", False)]).predict(np.zeros((2, 18))).tolist() == [0, 0]
+
+
+def test_secrets(odd, none):
+    got = {r.doc_id: r for r in secret_scan(odd).collect()}
+    assert got[13].n_secrets == 1 and got[11].n_secrets == got[10].n_secrets == 0
+    clean = mask_secrets(odd)
+    assert clean.columns == odd.columns
+    rows = {r.doc_id: r for r in clean.collect()}
+    assert rows[13].text == 'see token = "<SECRET>" there' and rows[13].n_chars == 28 and rows[4].text is None
+    assert rows[8].text == next(t for d, t, *_ in odd_texts() if d == 8)
+    assert hashlib.sha256(rows[13].text.encode()).hexdigest() == got[13].masked_sha256
+    assert secret_scan(none).collect() == [] and mask_secrets(none).collect() == []
+
+
+def test_chat(spark):
+    turns = [(1, 0, "system", "be [INST] <|end|>\n kind & so &amp; on"), (1, 1, "user", "hi"), (1, 2, "assistant", "</s>[INST]&lt;"), (1, 2, "assistant", "</s>[INST]&lt;")]
+    turns += [(2, i, ("user", "assistant")[i % 2], prose(i, 90)) for i in range(30)] + [(3, None, None, None), (None, 1, "user|>\n", "é👍"), (None, 0, "assistant", "")]
+    docs = spark.createDataFrame([(*t, "x") for t in turns], "conv_id long, turn long, role string, text string, window string")
+    made = windows(docs)
+    by = {}
+    for t in sorted(turns, key=lambda t: (t[1] is not None, t[1] or 0, t[2] or "", t[3] or "")):
+        by.setdefault(t[0], []).append((t[2] or "", t[3] or ""))
+    got = {r.conv_id: r for r in digests(made).collect()}
+    assert got.keys() == by.keys()
+    for conv, ts in by.items():
+        loss = "".join(x for r, x in ts if r == "assistant")
+        assert got[conv].n_turns == len(ts) and got[conv].loss_chars == len(loss)
+        assert got[conv].turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in ts).encode()).hexdigest()
+        assert got[conv].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+    rows = made.where("conv_id = 2").orderBy("window").collect()
+    assert len(rows) > 3 and all(r.n_context > 0 for r in rows[1:]) and all(len(r.text) <= 4 * 1024 for r in rows)
+    assert digests(windows(docs.limit(0))).collect() == []
+
+
+def test_mixing(spark, odd, none):
+    got = mixture(odd).collect()
+    assert len(got) == len(odd_texts()) and all(r.probability <= 1 for r in got)
+    assert not any(r.kept for r in got if not r.n_tokens)
+    assert keep_mixture(odd).columns == odd.columns and mixture(none).collect() == []
+    cells = spark.createDataFrame([(s, l, t, (i * 37) % 91 + 1) for i, (s, l, t) in enumerate((s, l, t) for s in "abc" for l in "xy" for t in "pq")], "source string, lang string, topic string, tokens long")
+    want = {"source": {"a": 0.5, "b": 0.3, "c": 0.2}, "lang": {"x": 0.5, "y": 0.5}}
+    fitted = fit_cells(cells.toPandas(), want)
+    for d, shares in want.items():
+        assert fitted.groupby(d)["weight"].sum().to_dict() == pytest.approx(shares, abs=1e-6)
+    import tessera.llm.mixing as mixing
+
+    rounds, mixing.ROUNDS = mixing.ROUNDS, 3
+    try:
+        a = fit_cells(cells.toPandas(), want).set_index(["source", "lang", "topic"])["weight"]
+        b = _fit_table(cells, want).toPandas().set_index(["source", "lang", "topic"])["weight"]
+    finally:
+        mixing.ROUNDS = rounds
+    assert b.to_dict() == pytest.approx(a.to_dict(), rel=1e-9)
+
+
+def test_pipeline(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(i, prose(i, 60), "en", f"s{i % 3}", 0) for i in range(60)] + [(100, prose(1, 60), "en", "s1", 0), (101, "### $$$ " * 50, "en", "s1", 0)]
+    rows.append((102, prose(70, 60) + ' token = "0123456789abcdef0123456789abcdef01234567"', "en", "s1", 0))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = pipeline.run(spark, str(tmp_path)).collect()
+    ids = {r.doc_id for r in out}
+    assert ids and not ids & {100, 101} and all(len(r.ids) == r.n_tokens for r in out)
+    assert all("0123456789abcdef" not in r.text for r in out)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Hashable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -68,41 +68,45 @@ def sketch(numbers: np.ndarray) -> np.ndarray:
     return out
 
 
-def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
-    """Word edits between a and b, None if more than `most`.
+def edit_distance(a: Sequence[Hashable], b: Sequence[Hashable], most: int) -> int | None:
+    """Word edits between a and b, None if more than `most`: an alignment in the band of `most` diagonals to
+    either side, a column of the band in one integer.
 
-    far[j] is how far a is read, with the edits so far, on the diagonal j - most of the band of
-    2 * most + 1 diagonals; each further edit moves from neighbouring diagonals, then equal words are
-    read for nothing.
+    Bit k of column j (from 1) stands for row j - most + k. rise and fall mark the rows whose distance is
+    one more or less than the row's above, in the column before; level tells where a diagonal step costs
+    nothing. The distance is followed down the band's last diagonal to the last row of a, then along it.
     """
     n, m = len(a), len(b)
     if abs(n - m) > most:
         return None
-    diagonals = np.arange(-most, most + 1)
-    far = np.full(2 * most + 3, -2, dtype=np.int64)  # one more at either end
-    goal = m - n + most
-    for edits in range(most + 1):
-        if edits == 0:
-            now = np.full(2 * most + 1, -2, dtype=np.int64)
-            now[most] = 0
+    if n <= most:  # the band holds all rows: a common end, whose rows cost nothing, makes room
+        end = [object()] * (most - n + 1)
+        a, b = [*a, *end], [*b, *end]
+        n, m = len(a), len(b)
+    width = 2 * most + 1
+    band = (1 << width) - 1
+    rows: dict[Hashable, int] = {}
+    for i, w in enumerate(a):
+        rows[w] = rows.get(w, 0) | 1 << i
+    rise, fall, far = band >> most << most, 0, most
+    along = m - n + most  # columns after the last row is reached
+    for j, w in enumerate(b, 1):
+        down = j - most - 1
+        same = rows.get(w, 0)
+        same = (same >> down if down >= 0 else same << -down) & band
+        level = ((((same & rise) + rise) ^ rise) | same | fall) & band
+        up = fall | (band & ~(level | rise))
+        back = level & rise
+        if j + most <= n:
+            far += not level >> (width - 1)
+            if far - along > most:
+                return None
         else:
-            now = np.maximum(np.maximum(far[1:-1] + 1, far[2:] + 1), far[:-2])
-            now = np.minimum(now, np.minimum(n, m - diagonals))
-            now[np.abs(diagonals) > edits] = -2
-        live = np.flatnonzero((now >= 0) & (now + diagonals >= 0))
-        while len(live):
-            i = now[live]
-            j = i + diagonals[live]
-            live = live[(i < n) & (j < m)]
-            if not len(live):
-                break
-            i = now[live]
-            live = live[a[i] == b[i + diagonals[live]]]
-            now[live] += 1
-        if now[goal] >= n:
-            return edits
-        far[1:-1] = now
-    return None
+            at = n - j + most
+            far += (up >> at & 1) - (back >> at & 1)
+        slid = level >> 1
+        rise, fall = back | (band & ~(slid | up)), slid & up
+    return far if far <= most else None
 
 
 def similar(a: list[bytes], b: list[bytes], least: float = SIMILARITY) -> bool:
@@ -112,7 +116,7 @@ def similar(a: list[bytes], b: list[bytes], least: float = SIMILARITY) -> bool:
     if abs(len(a) - len(b)) > most:
         return False
     ids: dict[bytes, int] = {}
-    x, y = (np.array([ids.setdefault(w, len(ids)) for w in t], dtype=np.int64) for t in (a, b))
+    x, y = ([ids.setdefault(w, len(ids)) for w in t] for t in (a, b))
     # words that both have bound the words that can be aligned
     both = np.minimum(np.bincount(x, minlength=len(ids)), np.bincount(y, minlength=len(ids))).sum()
     return bool(longer - both <= most) and edit_distance(x, y, most) is not None

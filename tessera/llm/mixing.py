@@ -6,8 +6,12 @@ from collections.abc import Mapping
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import bounded_batches, words, written_table
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Rounds of fitting; each scales the weights to the three marginals in turn.
@@ -21,25 +25,27 @@ DRIVER_CELLS = 200_000
 SALT = "mix-1"
 
 
-def topic_of(text: Column) -> Column:
-    """The form of a text: table, license, code-like symbols, long or short prose. The first that fits."""
-    text = F.coalesce(text, F.lit(""))
-    return (
-        F.when(text.contains(" | "), "table")
-        .when(text.contains("http://") | text.contains("https://") | F.lower(text).contains("license"), "reference")
-        .when(F.length(F.translate(text, "#*$%&<>", "")) * 20 < F.length(text) * 19, "symbols")
-        .when(F.length(text) >= 2000, "long prose")
-        .otherwise("short prose")
+def topic_of(text: str) -> str:
+    """The form of a text: table, reference, symbols, long or short prose. The first that fits."""
+    if " | " in text:
+        return "table"
+    if "http://" in text or "https://" in text or "license" in text.lower():
+        return "reference"
+    if (len(text) - sum(map(text.count, "#*$%&<>"))) * 20 < len(text) * 19:
+        return "symbols"
+    return "long prose" if len(text) >= 2000 else "short prose"
+
+
+@F.arrow_udf(T.StructType([T.StructField("topic", T.StringType()), T.StructField("n_tokens", T.LongType())]))
+def described(texts: pa.Array) -> pa.Array:
+    """Topic, and tokens counted as runs of characters other than ASCII white space; null is as empty."""
+    found = [x or "" for x in texts.to_pylist()]
+    return pa.StructArray.from_arrays(
+        [pa.array([topic_of(x) for x in found], pa.string()), pa.array([len(words(x)) for x in found], pa.int64())],
+        names=["topic", "n_tokens"],
     )
 
 
-def token_count(text: Column) -> Column:
-    """Tokens of a text, counted as its runs of characters other than ASCII white space."""
-    clean = F.trim(F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     "))
-    runs = F.regexp_replace(clean, " +", " ")
-    return F.when(runs == "", 0).otherwise(F.length(runs) - F.length(F.replace(runs, F.lit(" "), F.lit(""))) + 1).cast("long")
-
-
 def _targets(cells: pd.DataFrame, given: Mapping[str, Mapping[str, float]]) -> dict[str, pd.Series]:
     out = {}
     for d in DIMENSIONS:
@@ -70,8 +76,6 @@ def fit_cells(cells: pd.DataFrame, targets: Mapping[str, Mapping[str, float]]) -
 
 def _fit_table(cells: DataFrame, targets: Mapping[str, Mapping[str, float]]) -> DataFrame:
     """fit_cells() with joins, for more cells than the driver takes; marginals are aggregated each time."""
-    from .common import written_table
-
     out = written_table(cells.withColumn("weight", F.col("tokens").cast("double")), "cells")
     total = out.agg(F.sum("tokens")).first()[0]
     out = out.withColumn("weight", F.col("weight") / F.lit(float(total or 1)))
@@ -108,7 +112,9 @@ def mixture(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None =
     """
     targets = targets or {}
     keep = [c for c in docs.columns if c.lower() not in ("topic", "n_tokens", "probability", "kept")]
-    rows = docs.select(*keep).withColumn("topic", topic_of(F.col("text"))).withColumn("n_tokens", token_count(F.col("text")))
+    bounded_batches(docs.sparkSession)
+    rows = docs.select(*keep).withColumn("_d", described("text"))
+    rows = rows.select(*keep, F.col("_d.topic").alias("topic"), F.col("_d.n_tokens").alias("n_tokens"))
     cell = [F.coalesce(F.col(d), F.lit("")).alias(d) for d in DIMENSIONS]
     cells = rows.select(*cell, "n_tokens").groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens"))
     small = cells.limit(DRIVER_CELLS + 1).toPandas()

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from .bpe import round_trip_digests
 from .chat import DIGESTS_SQL, EXTRA, digests, windows
 from .common import table
-from .embeddings import near_duplicates
+from .embeddings import LINKS_SQL, near_duplicates
 from .mixing import mixture, mixture_sql
 from .orderhash import near_copies
 from .quality import quality_rules
 from .secrets import secret_scan
-from .substring import substring_dedup
+from .substring import DEDUP_SQL, substring_dedup
 from .suffix import suffix_dedup
 from .tokencount import token_counts
 
@@ -95,6 +95,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_embedding_near_dedup": LINKS_SQL,
     "op3_chat_windows": DIGESTS_SQL,
     "op4_mixing": mixture_sql(),
+    "op8_substring_dedup": DEDUP_SQL,
 }

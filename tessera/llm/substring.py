@@ -123,3 +123,16 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, wit
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return with_spans(rows, spans).mapInArrow(finish, SCHEMA + ", kept string" * with_text)
+
+
+#: substring_dedup() over the table documents with ids that are neither null nor repeated.
+DEDUP_SQL = f"""
+WITH docs AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+places AS (SELECT doc_id, ws, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM docs),
+keys AS (SELECT doc_id, i, w, CASE WHEN i + {WINDOW - 1} <= len(ws) THEN array_to_string(ws[i : i + {WINDOW - 1}], ' ') END AS k FROM places),
+ranked AS (SELECT doc_id, i, w, k IS NOT NULL AND row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1 AS again FROM keys),
+covered AS (SELECT doc_id, i, w, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS gone FROM ranked),
+kept AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(w, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM covered GROUP BY doc_id)
+SELECT d.doc_id, len(d.ws) AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM docs d LEFT JOIN kept k USING (doc_id)
+"""

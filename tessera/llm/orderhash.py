@@ -19,7 +19,7 @@ KMER, TAKEN, ENTRIES = 5, 2, 48
 SIMILARITY = 0.8
 #: Documents before a document in an entry that it is compared with, besides the firsts of its size; then,
 #: while links are still found, those of other groups that it is compared with, and rounds of that at most.
-NEIGHBOURS, OTHERS, ROUNDS = 3, 24, 4
+NEIGHBOURS, OTHERS, ROUNDS = 1, 24, 4
 #: Hash values that stand in memory at once, and texts that a task remembers to sketch copies once.
 FLAT, REMEMBERED = 1 << 20, 200_000
 _MULTIPLIERS = mix64(np.arange(1, ENTRIES + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)

@@ -22,6 +22,11 @@ SIMILARITY = 0.8
 NEIGHBOURS, OTHERS, ROUNDS = 1, 24, 4
 #: Hash values that stand in memory at once, and texts that a task remembers to sketch copies once.
 FLAT, REMEMBERED = 1 << 20, 200_000
+#: Rows of an entry up to which all its pairs are compared; the documents of larger ones are joined by pairs of words.
+SMALL = 25
+#: Documents whose pairs of words are counted, and the most frequent of these that the driver holds: only an
+#: order of the pairs of words, so neither changes the result.
+COUNTED, FREQUENT = 20_000, 100_000
 _MULTIPLIERS = mix64(np.arange(1, ENTRIES + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
 
 
@@ -207,6 +212,133 @@ def _candidates(reach: int):
     return run
 
 
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (entry, id, n, component) by entry and number of words: of an entry of up to SMALL rows all
+    pairs (a, b) of different groups that can reach SIMILARITY; of a larger one each document as (id, null, component)."""
+    entry, held, crowd, seen = None, [], False, set()
+    for b in batches:
+        found = []
+        for e, i, n, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
+            if e != entry:
+                entry, held, crowd = e, [], False
+            if not crowd:
+                found += [(min(i, j), max(i, j), None) for j, size, other in held if other != c and size >= SIMILARITY * n - 1e-9]
+                held.append((i, n, c))
+            if crowd or len(held) > SMALL:
+                found += [(j, None, other) for j, _, other in ([(i, n, c)] if crowd else held) if j not in seen]
+                seen.update((i,) if crowd else (j for j, _, _ in held))
+                held, crowd = [], True
+        if len(seen) > REMEMBERED:
+            seen.clear()
+        columns = zip(*dict.fromkeys(found), strict=True) if found else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["a", "b", "c"])
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = [labelled_kmers(word_numbers(words(x)), 2) for x in b.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["pair"])
+
+
+def rare_pairs(numbers: np.ndarray, frequent: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The rarest labelled pairs of words of a document, as many as every text of SIMILARITY shares one of.
+
+    A word edit changes at most two pairs of words, so texts of m <= n words and up to d = (1 - SIMILARITY) n
+    edits share n - 1 - 2 d labelled pairs or more. In any order of all pairs that holds for both texts,
+    the first 2 d + 1 of the longer and m - n + 2 d + 1 of the shorter have one in common; the latter is
+    no more than 2 (1 - SIMILARITY) m + 2 rounded down to whole edits. frequent: sorted, others come first.
+    """
+    g = labelled_kmers(numbers, 2)
+    most = 2 * int((1 - SIMILARITY) * len(numbers) + 1e-9) + 2
+    if most >= len(g):
+        return g
+    rank = np.zeros(len(g), dtype=np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, g), len(frequent) - 1)
+        rank = np.where(frequent[at] == g, ranks[at], 0)
+    return g[np.lexsort((g, rank))[:most]]
+
+
+def _rare(frequent: np.ndarray, ranks: np.ndarray):
+    """Rows (pair, id, n, component) of the rarest pairs of words of documents (id, component, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            split = [words(x) for x in b.column(2).to_pylist()]
+            rare = [rare_pairs(word_numbers(ws), frequent, ranks) for ws in split]
+            counts = [len(x) for x in rare]
+            ids, groups_ = (np.repeat(b.column(x).to_numpy(), counts) for x in (0, 1))
+            sizes = np.repeat(np.array([len(ws) for ws in split], dtype=np.int32), counts)
+            keys = np.concatenate(rare).view(np.int64) if rare else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, ids, sizes, groups_)], names=["pair", "id", "n", "c"])
+
+    return run
+
+
+def _pairs_of(i: np.ndarray, n: np.ndarray, c: np.ndarray) -> Iterator[np.ndarray]:
+    """Pairs of different groups that can reach SIMILARITY, of one pair of words; by number of words."""
+    first = np.searchsorted(n, SIMILARITY * n - 1e-9)
+    for at in range(1, len(i)):
+        others = i[first[at] : at][c[first[at] : at] != c[at]]
+        if len(others):
+            yield np.stack([np.minimum(others, i[at]), np.maximum(others, i[at])])
+
+
+def _rare_met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) from rows (pair, id, n, component) by pair and number of words."""
+    held: list[pa.RecordBatch] = []
+
+    def found(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, i, n, c = (rows.column(x).to_numpy() for x in range(4))
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        out, size = [], 0
+        for lo, hi in zip(starts, np.r_[starts[1:], len(key)], strict=True):
+            if hi - lo < 2 or (c[lo:hi] == c[lo]).all():
+                continue
+            for x in _pairs_of(i[lo:hi], n[lo:hi], c[lo:hi]):
+                out.append(x)
+                size += x.shape[1]
+                if size > FLAT:
+                    yield flushed(out)
+                    out, size = [], 0
+        if out:
+            yield flushed(out)
+
+    def flushed(out: list[np.ndarray]) -> pa.RecordBatch:
+        a, b = np.unique(np.concatenate(out, axis=1), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    for b in batches:
+        if not len(b):
+            continue
+        key = b.column(0).to_numpy()
+        cut = int(np.searchsorted(key, key[-1]))  # the last pair of words waits for what follows
+        if held and held[-1].column(0)[-1].as_py() != key[0]:
+            yield from found(pa.Table.from_batches(held))
+            held = []
+        if cut:
+            yield from found(pa.Table.from_batches([*held, b.slice(0, cut)]))
+            held = []
+        held.append(b.slice(cut))
+    if held:
+        yield from found(pa.Table.from_batches(held))
+
+
+def _crowded_pairs(crowd: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different groups among the documents (id, component) of crowded entries: all that
+    can reach SIMILARITY, by their rarest pairs of words. Nothing is left out for standing far apart."""
+    read = written_table(texts.join(crowd.hint("shuffle_hash"), "id").select("id", "c", "text"), "crowd")
+    parts = -(-read.count() // COUNTED)
+    some = read.where(F.pmod(F.xxhash64("id"), F.lit(max(1, parts))) == 0).select("text")
+    counts = some.mapInArrow(_counted, "pair long").groupBy("pair").agg(F.count("*").alias("n")).where("n > 1")
+    top = counts.orderBy(F.desc("n")).limit(FREQUENT).toArrow()
+    frequent, ranks = (top.column(x).to_numpy() for x in range(2))
+    frequent = frequent.view(np.uint64)
+    order = np.argsort(frequent)
+    keys = read.mapInArrow(_rare(frequent[order], ranks[order]), "pair long, id long, n int, c long")
+    return keys.repartition("pair").sortWithinPartitions("pair", "n", "id").mapInArrow(_rare_met, "a long, b long")
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)
@@ -227,11 +359,11 @@ def groups(docs: DataFrame) -> DataFrame:
 
     Two documents are near copies if 1 - word edits / words of the longer is SIMILARITY or more. Documents
     of equal words are grouped by digest; others meet in the entries of their sketches, and pairs that
-    meet are verified by banded alignment. Groups are the connected components. A first round compares
-    each document with a few that stand near it in each entry, further ones with those of other groups,
-    as two documents of one group need no comparing. A pair is only left out where in each entry that
-    it shares more than OTHERS documents of other groups stand between; near copies share entries that
-    hold little else, and tests/llm measures that none is lost.
+    meet are verified by banded alignment. Groups are the connected components. First rounds compare documents
+    that stand near each other in an entry, as two of one group need no comparing after; they only save work.
+    The last round takes every pair of different groups that shares an entry: in entries of up to SMALL rows
+    all, in crowded ones all that share one of their rarest pairs of words, which near copies do (see
+    rare_pairs()). Each of these is verified, however many documents stand between.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -248,21 +380,32 @@ def groups(docs: DataFrame) -> DataFrame:
     copies = classes.join(least.hint("merge"), "same").select("a", F.col("id").alias("b"))
     links = written_table(copies, "copies")
     found, tested = components(links), None
-    for nth in range(ROUNDS):
+
+    def placed_in(found: DataFrame) -> DataFrame:
         placed = met.join(found.hint("merge"), "id", "left").select("entry", "id", "n", F.coalesce("component", "id").alias("c"))
-        placed = placed.repartition("entry").sortWithinPartitions("entry", "n", "id")
-        pairs = placed.mapInArrow(_candidates(OTHERS if nth else NEIGHBOURS), "a long, b long").distinct()
+        return placed.repartition("entry").sortWithinPartitions("entry", "n", "id")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = right.join(left.join(pairs.hint("shuffle_hash"), "a").hint("shuffle_hash"), "b").select("a", "b", "x", "y")
+        return written_table(both.mapInArrow(_verified, "a long, b long"), "near")
+
+    for nth in range(ROUNDS):
+        pairs = placed_in(found).mapInArrow(_candidates(OTHERS if nth else NEIGHBOURS), "a long, b long").distinct()
         if tested is not None:
             pairs = pairs.join(tested.hint("merge"), ["a", "b"], "left_anti")
         pairs = written_table(pairs, "pairs")
-        both = right.join(left.join(pairs.hint("shuffle_hash"), "a").hint("shuffle_hash"), "b").select("a", "b", "x", "y")
-        near = written_table(both.mapInArrow(_verified, "a long, b long"), "near")
+        near = verified(pairs)
+        tested = pairs if tested is None else tested.union(pairs)
         if near.isEmpty():
             break
         links = links.union(near)
         found = components(links)
-        tested = pairs if tested is None else tested.union(pairs)
-    return found
+    # whatever has been linked by then: every pair that is left
+    marked = written_table(placed_in(found).mapInArrow(_met, "a long, b long, c long"), "met")
+    crowd = marked.where("b is null").select(F.col("a").alias("id"), "c").distinct()
+    pairs = marked.where("b is not null").select("a", "b").union(_crowded_pairs(crowd, texts)).distinct()
+    near = verified(pairs.join(tested.hint("merge"), ["a", "b"], "left_anti"))
+    return found if near.isEmpty() else components(links.union(near))
 
 
 def near_copies(docs: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ import numpy as np
 
 from tessera.llm.common import components, words
 from tessera.llm.embeddings import filters_of, near_duplicates
-from tessera.llm.orderhash import edit_distance, keep_one_of_each, near_copies, similar
+from tessera.llm.orderhash import edit_distance, keep_one_of_each, near_copies, rare_pairs, similar
+from tessera.llm.substring import word_numbers
 
 from .conftest import odd_texts, prose
 
@@ -59,6 +60,44 @@ def test_near_copies(spark):
     assert {r.doc_id: r.component_id for r in got} == want and all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def crowded(n, apart):
+    """n texts of a common passage and own words; text i + apart is text i with every fifth own word replaced,
+    so that the two share no entry but those of the passage, which all texts share."""
+    shared, out = prose(1, 24), {}
+    for i in range(n):
+        own = prose(1000 + i, 36).split()
+        if i >= apart and 0 < i % apart < 10:
+            own = [f"x{i}" if at % 5 == 2 else w for at, w in enumerate(prose(1000 + i - apart, 36).split())]
+        out[i] = shared + " " + " ".join(own)
+    return out
+
+
+def grouped(spark, texts):
+    got = near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)).collect()
+    return {r.doc_id: r.component_id for r in got}
+
+
+def test_near_copies_crowded(spark):
+    texts = crowded(3000, 1500)
+    assert similar(words(texts[3]), words(texts[1503])) and not similar(words(texts[3]), words(texts[4]))
+    assert grouped(spark, texts) == {i: i - 1500 if i >= 1500 and 0 < i % 1500 < 10 else i for i in texts}
+
+
+def test_rare_pairs_shared():
+    r = random.Random(8)
+    for n in [*range(5, 40), 200] * 4:
+        ws = [b"%d" % r.randrange(30) for _ in range(n)]
+        edited = list(ws)
+        for _ in range(int(n * 0.2) + 1):
+            at = r.randrange(len(edited))
+            edited[at : at + 1] = r.choice([[], [b"z"], [edited[at], b"y"]])
+        if len(edited) >= 5 and similar(ws, edited):
+            x, y = word_numbers(ws), word_numbers(edited)
+            frequent = np.unique(np.concatenate([rare_pairs(x, x[:0], x[:0])[:3], rare_pairs(y, x[:0], x[:0])[:3]]))
+            a, b = (rare_pairs(v, frequent, np.arange(1, len(frequent) + 1)) for v in (x, y))
+            assert len(np.intersect1d(a, b))
+
+
 def test_near_copies_odd_rows(odd, none):
     got = near_copies(odd).collect()
     assert len(got) == len(odd_texts())

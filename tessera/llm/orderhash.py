@@ -17,9 +17,9 @@ from .substring import word_numbers
 #: Words of a k-mer, k-mers of one sketch entry, and entries of a sketch.
 KMER, TAKEN, ENTRIES = 5, 2, 48
 SIMILARITY = 0.8
-#: Documents before a document in an entry that it is compared with, besides the firsts of its size; then,
-#: while links are still found, those of other groups that it is compared with, and rounds of that at most.
-NEIGHBOURS, OTHERS, ROUNDS = 1, 24, 4
+#: Documents of other groups before a document in an entry that the first rounds compare it with, besides the
+#: firsts of its size; they go on while a round finds more than one of WORTH parts of the most links of a round.
+NEIGHBOURS, WORTH = 1, 10
 #: Hash values that stand in memory at once, and texts that a task remembers to sketch copies once.
 FLAT, REMEMBERED = 1 << 20, 200_000
 #: Rows of an entry up to which all its pairs are compared; the documents of larger ones are joined by pairs of words.
@@ -27,6 +27,8 @@ SMALL = 25
 #: Documents whose pairs of words are counted, and the most frequent of these that the driver holds: only an
 #: order of the pairs of words, so neither changes the result.
 COUNTED, FREQUENT = 20_000, 100_000
+#: Counts of words by hash that rows of frequent pairs of words carry, to tell documents of other words apart.
+TALLIES = 128
 _MULTIPLIERS = mix64(np.arange(1, ENTRIES + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
 
 
@@ -260,32 +262,46 @@ def rare_pairs(numbers: np.ndarray, frequent: np.ndarray, ranks: np.ndarray) ->
 
 
 def _rare(frequent: np.ndarray, ranks: np.ndarray):
-    """Rows (pair, id, n, component) of the rarest pairs of words of documents (id, component, text)."""
+    """Rows (pair, id, n, component, tally) of the rarest pairs of words of documents (id, component, text);
+    tally, the document's words counted by hash up to 255, stands where the pair is frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            split = [words(x) for x in b.column(2).to_pylist()]
-            rare = [rare_pairs(word_numbers(ws), frequent, ranks) for ws in split]
-            counts = [len(x) for x in rare]
-            ids, groups_ = (np.repeat(b.column(x).to_numpy(), counts) for x in (0, 1))
-            sizes = np.repeat(np.array([len(ws) for ws in split], dtype=np.int32), counts)
-            keys = np.concatenate(rare).view(np.int64) if rare else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, ids, sizes, groups_)], names=["pair", "id", "n", "c"])
+            keys, counts, sizes, tallies = [np.zeros(0, dtype=np.uint64)], [], [], []
+            for text in b.column(2).to_pylist():
+                numbers = word_numbers(words(text))
+                rare = rare_pairs(numbers, frequent, ranks)
+                tally = np.minimum(np.bincount((mix64(numbers) % np.uint64(TALLIES)).astype(np.int64), minlength=TALLIES), 255)
+                known = np.isin(rare, frequent)
+                tally = tally.astype(np.uint8).tobytes()
+                tallies += [tally if x else None for x in known.tolist()]
+                keys.append(rare)
+                counts.append(len(rare))
+                sizes.append(len(numbers))
+            ids, owners = (np.repeat(b.column(x).to_numpy(), counts) for x in (0, 1))
+            columns = [np.concatenate(keys).view(np.int64), ids, np.repeat(np.array(sizes, dtype=np.int32), counts), owners]
+            yield pa.RecordBatch.from_arrays(
+                [*map(pa.array, columns), pa.array(tallies, pa.binary())], names=["pair", "id", "n", "c", "tally"]
+            )
 
     return run
 
 
-def _pairs_of(i: np.ndarray, n: np.ndarray, c: np.ndarray) -> Iterator[np.ndarray]:
-    """Pairs of different groups that can reach SIMILARITY, of one pair of words; by number of words."""
+def _pairs_of(i: np.ndarray, n: np.ndarray, c: np.ndarray, tally: np.ndarray | None) -> Iterator[np.ndarray]:
+    """Pairs of different groups that can reach SIMILARITY, of one pair of words; by number of words. An edit
+    changes the counts of a tally and the number of words by two in all, and capped counts differ by less."""
     first = np.searchsorted(n, SIMILARITY * n - 1e-9)
     for at in range(1, len(i)):
-        others = i[first[at] : at][c[first[at] : at] != c[at]]
+        others = np.arange(first[at], at)[c[first[at] : at] != c[at]]
+        if tally is not None and len(others):
+            apart = np.abs(tally[others] - tally[at]).sum(axis=1, dtype=np.int64) + (n[at] - n[others])
+            others = others[apart <= 2 * int((1 - SIMILARITY) * int(n[at]) + 1e-9)]
         if len(others):
-            yield np.stack([np.minimum(others, i[at]), np.maximum(others, i[at])])
+            yield np.stack([np.minimum(i[others], i[at]), np.maximum(i[others], i[at])])
 
 
 def _rare_met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) from rows (pair, id, n, component) by pair and number of words."""
+    """Pairs (a, b) from rows (pair, id, n, component, tally) by pair and number of words."""
     held: list[pa.RecordBatch] = []
 
     def found(rows: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -295,7 +311,11 @@ def _rare_met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi in zip(starts, np.r_[starts[1:], len(key)], strict=True):
             if hi - lo < 2 or (c[lo:hi] == c[lo]).all():
                 continue
-            for x in _pairs_of(i[lo:hi], n[lo:hi], c[lo:hi]):
+            tally = None
+            if rows.column(4)[int(lo)].is_valid:
+                counts = b"".join(rows.column(4).slice(lo, hi - lo).to_pylist())
+                tally = np.frombuffer(counts, dtype=np.uint8).reshape(-1, TALLIES).astype(np.int16)
+            for x in _pairs_of(i[lo:hi], n[lo:hi], c[lo:hi], tally):
                 out.append(x)
                 size += x.shape[1]
                 if size > FLAT:
@@ -335,7 +355,7 @@ def _crowded_pairs(crowd: DataFrame, texts: DataFrame) -> DataFrame:
     frequent, ranks = (top.column(x).to_numpy() for x in range(2))
     frequent = frequent.view(np.uint64)
     order = np.argsort(frequent)
-    keys = read.mapInArrow(_rare(frequent[order], ranks[order]), "pair long, id long, n int, c long")
+    keys = read.mapInArrow(_rare(frequent[order], ranks[order]), "pair long, id long, n int, c long, tally binary")
     return keys.repartition("pair").sortWithinPartitions("pair", "n", "id").mapInArrow(_rare_met, "a long, b long")
 
 
@@ -361,7 +381,7 @@ def groups(docs: DataFrame) -> DataFrame:
     of equal words are grouped by digest; others meet in the entries of their sketches, and pairs that
     meet are verified by banded alignment. Groups are the connected components. First rounds compare documents
     that stand near each other in an entry, as two of one group need no comparing after; they only save work.
-    The last round takes every pair of different groups that shares an entry: in entries of up to SMALL rows
+    The last round is always run, whatever they find, and takes every pair of different groups that shares an entry: in entries of up to SMALL rows
     all, in crowded ones all that share one of their rarest pairs of words, which near copies do (see
     rare_pairs()). Each of these is verified, however many documents stand between.
     """
@@ -378,34 +398,39 @@ def groups(docs: DataFrame) -> DataFrame:
     classes = rows.mapInArrow(_same_words, "id long, same binary").where("same is not null")
     least = classes.groupBy("same").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
     copies = classes.join(least.hint("merge"), "same").select("a", F.col("id").alias("b"))
-    links = written_table(copies, "copies")
-    found, tested = components(links), None
+    found, tested = components(written_table(copies, "copies")), None
 
     def placed_in(found: DataFrame) -> DataFrame:
         placed = met.join(found.hint("merge"), "id", "left").select("entry", "id", "n", F.coalesce("component", "id").alias("c"))
         return placed.repartition("entry").sortWithinPartitions("entry", "n", "id")
 
+    def stars(found: DataFrame) -> DataFrame:
+        return found.select(F.col("component").alias("a"), F.col("id").alias("b"))
+
     def verified(pairs: DataFrame) -> DataFrame:
         both = right.join(left.join(pairs.hint("shuffle_hash"), "a").hint("shuffle_hash"), "b").select("a", "b", "x", "y")
         return written_table(both.mapInArrow(_verified, "a long, b long"), "near")
 
-    for nth in range(ROUNDS):
-        pairs = placed_in(found).mapInArrow(_candidates(OTHERS if nth else NEIGHBOURS), "a long, b long").distinct()
+    most = 0
+    while True:
+        pairs = placed_in(found).mapInArrow(_candidates(NEIGHBOURS), "a long, b long").distinct()
         if tested is not None:
             pairs = pairs.join(tested.hint("merge"), ["a", "b"], "left_anti")
         pairs = written_table(pairs, "pairs")
         near = verified(pairs)
         tested = pairs if tested is None else tested.union(pairs)
-        if near.isEmpty():
+        n = near.count()
+        if n:
+            found = components(stars(found).union(near))
+        most = max(most, n)
+        if n * WORTH <= most:  # few links are left, and the last round finds them all
             break
-        links = links.union(near)
-        found = components(links)
     # whatever has been linked by then: every pair that is left
     marked = written_table(placed_in(found).mapInArrow(_met, "a long, b long, c long"), "met")
     crowd = marked.where("b is null").select(F.col("a").alias("id"), "c").distinct()
     pairs = marked.where("b is not null").select("a", "b").union(_crowded_pairs(crowd, texts)).distinct()
     near = verified(pairs.join(tested.hint("merge"), ["a", "b"], "left_anti"))
-    return found if near.isEmpty() else components(links.union(near))
+    return found if near.isEmpty() else components(stars(found).union(near))
 
 
 def near_copies(docs: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 
 from tessera.llm.common import components, words
 from tessera.llm.embeddings import filters_of, near_duplicates
-from tessera.llm.orderhash import edit_distance, keep_one_of_each, near_copies, rare_pairs, similar
+from tessera.llm.orderhash import edit_distance, keep_one_of_each, near_copies, rare_pairs, similar, sketch
 from tessera.llm.substring import word_numbers
 
 from .conftest import odd_texts, prose
@@ -60,14 +60,14 @@ def test_near_copies(spark):
     assert {r.doc_id: r.component_id for r in got} == want and all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
-def crowded(n, apart):
-    """n texts of a common passage and own words; text i + apart is text i with every fifth own word replaced,
+def crowded(n, apart, passage):
+    """n texts of 60 words, a common passage and own ones; text i + apart is text i with every fifth own word replaced,
     so that the two share no entry but those of the passage, which all texts share."""
-    shared, out = prose(1, 24), {}
+    shared, out = prose(1, passage), {}
     for i in range(n):
-        own = prose(1000 + i, 36).split()
+        own = prose(1000 + i, 60 - passage).split()
         if i >= apart and 0 < i % apart < 10:
-            own = [f"x{i}" if at % 5 == 2 else w for at, w in enumerate(prose(1000 + i - apart, 36).split())]
+            own = [f"x{i}" if at % 5 == 2 else w for at, w in enumerate(prose(1000 + i - apart, 60 - passage).split())]
         out[i] = shared + " " + " ".join(own)
     return out
 
@@ -78,11 +78,18 @@ def grouped(spark, texts):
 
 
 def test_near_copies_crowded(spark):
-    texts = crowded(3000, 1500)
+    texts = crowded(3000, 1500, 42)
     assert similar(words(texts[3]), words(texts[1503])) and not similar(words(texts[3]), words(texts[4]))
     assert grouped(spark, texts) == {i: i - 1500 if i >= 1500 and 0 < i % 1500 < 10 else i for i in texts}
 
 
+def test_near_copies_none_next_to_each_other(spark):
+    texts = crowded(400, 200, 24)
+    meet = [i for i in range(1, 10) if set(sketch(word_numbers(words(texts[i])))) & set(sketch(word_numbers(words(texts[i + 200]))))]
+    got = grouped(spark, texts)
+    assert len(meet) > 5 and all(got[i + 200] == i for i in meet)
+
+
 def test_rare_pairs_shared():
     r = random.Random(8)
     for n in [*range(5, 40), 200] * 4:

@@ -184,19 +184,19 @@ def _witness(held: pa.RecordBatch | None, n: int) -> np.ndarray:
 
 def _candidates(reach: int):
     """Pairs (a, b) from rows (entry, id, n, component) of an entry by number of words: each document with
-    the `reach` documents of other groups before it, and with the firsts of its size class and the one
+    the last of each of the `reach` other groups before it, however many rows they have, and with the firsts of its size class and the one
     before; a class ends where SIMILARITY can't reach its first any more. The number of pairs is in
     proportion to the rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        entry, firsts, before = None, [], []
+        entry, firsts, before = None, [], {}
         for b in batches:
             found = set()
             for e, i, n, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 if e != entry:
-                    entry, firsts, before = e, [], []
+                    entry, firsts, before = e, [], {}
                 near = 0
-                for j, size, other in reversed(before):
+                for other, (j, size) in reversed(before.items()):
                     if size < SIMILARITY * n - 1e-9 or near == reach:
                         break
                     if other != c:
@@ -205,7 +205,10 @@ def _candidates(reach: int):
                 for j, size, other in firsts:
                     if size >= SIMILARITY * n - 1e-9 and other != c:
                         found.add((min(i, j), max(i, j)))
-                before = [*before[-8 * reach :], (i, n, c)]
+                before.pop(c, None)
+                before[c] = i, n
+                if len(before) > reach + 1:
+                    del before[next(iter(before))]
                 if not firsts or firsts[-1][1] < SIMILARITY * n:
                     firsts = [*firsts[-1:], (i, n, c)]
             left, right = zip(*found, strict=True) if found else ((), ())

@@ -3,10 +3,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from tessera.llm.common import components, words
 from tessera.llm.embeddings import filters_of, near_duplicates
-from tessera.llm.orderhash import edit_distance, keep_one_of_each, near_copies, rare_pairs, similar, sketch
+from tessera.llm.orderhash import _candidates, edit_distance, keep_one_of_each, near_copies, rare_pairs, similar, sketch
 from tessera.llm.substring import word_numbers
 
 from .conftest import odd_texts, prose
@@ -90,6 +91,13 @@ def test_near_copies_none_next_to_each_other(spark):
     assert len(meet) > 5 and all(got[i + 200] == i for i in meet)
 
 
+def test_candidates_beyond_a_large_group():
+    rows = [(7, 1, 60, 1), (7, 2, 60, 2), *((7, i, 60, 3) for i in range(3, 403)), (7, 500, 60, 500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["entry", "id", "n", "c"])
+    found = {tuple(x.values()) for b in _candidates(2)(iter([batch])) for x in b.to_pylist()}
+    assert (2, 500) in found and (402, 500) in found and not any(3 <= a and b < 500 for a, b in found)
+
+
 def test_rare_pairs_shared():
     r = random.Random(8)
     for n in [*range(5, 40), 200] * 4:

@@ -95,7 +95,8 @@ def _fit_table(cells: DataFrame, targets: Mapping[str, Mapping[str, float]]) ->
             scale = scale.select(d, F.when(F.col("have") > 0, F.col("share") / F.col("have")).otherwise(0.0).alias("scale"))
             out = out.join(scale, d).withColumn("weight", F.col("weight") * F.col("scale")).drop("scale")
         out = written_table(out, "cells")
-    return out
+    whole = out.agg(F.sum("weight")).first()[0]
+    return out.withColumn("weight", F.col("weight") / F.lit(float(whole or 1)))
 
 
 def mixture(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, budget: float = BUDGET) -> DataFrame:

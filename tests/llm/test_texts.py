@@ -146,6 +146,16 @@ def test_mixing(spark, odd, none):
     assert b.to_dict() == pytest.approx(a.to_dict(), rel=1e-9)
 
 
+def test_mixing_targets_that_cannot_be_met(spark, monkeypatch):
+    import tessera.llm.mixing as mixing
+
+    monkeypatch.setattr(mixing, "ROUNDS", 1)
+    cells = spark.createDataFrame([("a", "x", "p", 30), ("a", "y", "p", 20), ("b", "x", "q", 50)], "source string, lang string, topic string, tokens long")
+    want = {"source": {"a": 1.0, "b": 0.0}}
+    a, b = (x.set_index(["source", "lang", "topic"])["weight"] for x in (fit_cells(cells.toPandas(), want), _fit_table(cells, want).toPandas()))
+    assert b.sum() == pytest.approx(1) and b.to_dict() == pytest.approx(a.to_dict(), rel=1e-9)
+
+
 def test_pipeline(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     rows = [(i, prose(i, 60), "en", f"s{i % 3}", 0) for i in range(60)] + [(100, prose(1, 60), "en", "s1", 0), (101, "### $$$ " * 50, "en", "s1", 0)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -22,9 +23,12 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests), a local one."""
+    """The folder of spark.checkpoint.dir. Where it is unset, a session of one machine (tests) gets a folder of its
+    own; a cluster's raises, as its machines share no local folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tessera-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -81,7 +85,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     Alternates two star rewrites, each one aggregation and one join: every node's larger neighbours
     are tied to its smallest neighbour, then every node's smaller ones are. The number of rounds grows
     with the logarithm of the longest chain; each round is written to the shared folder, so nothing
-    of it stands on the driver. No links give no rows.
+    of it stands on the driver. No links give no rows. Raises if max_rounds rounds don't settle it, which chains
+    of fewer than 2^max_rounds links do.
     """
     edges = written_table(links.select("a", "b").where("a != b").distinct(), "links")
     before = None

@@ -14,25 +14,27 @@ from .anchors import gram_hashes
 from .common import bounded_batches, components, mix64, words, written_table
 from .substring import word_numbers
 
-#: Words of a k-mer, k-mers of one sketch entry, and entries of a sketch.
-KMER, TAKEN, ENTRIES = 5, 2, 48
 SIMILARITY = 0.8
-#: Documents of other groups before a document in an entry that the first rounds compare it with, besides the
-#: firsts of its size; they go on while a round finds more than one of WORTH parts of the most links of a round.
-NEIGHBOURS, WORTH = 1, 10
-#: Hash values that stand in memory at once, and texts that a task remembers to sketch copies once.
-FLAT, REMEMBERED = 1 << 20, 200_000
-#: Rows of an entry up to which all its pairs are compared; the documents of larger ones are joined by pairs of words.
-SMALL = 25
-#: Documents whose pairs of words are counted, and the most frequent of these that the driver holds: only an
-#: order of the pairs of words, so neither changes the result.
-COUNTED, FREQUENT = 20_000, 100_000
-#: Counts of words by hash that rows of frequent pairs of words carry, to tell documents of other words apart.
+#: Words of a k-mer, and the least and most words of the texts that are sketched by it. Edits leave short texts no
+#: long k-mers; the ranges overlap so that two texts of SIMILARITY always have a k in common.
+KMERS = ((2, 5, 19), (3, 16, 124), (5, 100, 1 << 62))
+#: k-mers of one sketch entry, and entries of a sketch.
+TAKEN, ENTRIES = 2, 72
+#: Hash values that stand in memory at once.
+FLAT = 1 << 20
+#: Words are counted by hash in so many places, each up to 255, to tell texts of other words apart without reading them.
 TALLIES = 128
+#: Documents that one task compares with each other: crowds beyond it are split.
+CROWD = 1000
+#: Ids up to which the documents of a round's pairs are found by a broadcast of their ids (8 bytes each).
+FEW = 50_000
+#: Documents whose words are counted, and the most frequent of these that the driver holds: only an order of
+#: the words, so neither changes the result.
+COUNTED, FREQUENT = 20_000, 100_000
 _MULTIPLIERS = mix64(np.arange(1, ENTRIES + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
 
 
-def labelled_kmers(numbers: np.ndarray, k: int = KMER) -> np.ndarray:
+def labelled_kmers(numbers: np.ndarray, k: int) -> np.ndarray:
     """A hash of each k-mer with the number of its earlier occurrences, by place."""
     g = gram_hashes(numbers, k)
     if len(g) < 2:
@@ -50,15 +52,12 @@ def labelled_kmers(numbers: np.ndarray, k: int = KMER) -> np.ndarray:
     return g
 
 
-def sketch(numbers: np.ndarray) -> np.ndarray:
-    """The entries of a document as hashes; none under KMER words.
+def entries_of(g: np.ndarray) -> np.ndarray:
+    """The entries of labelled k-mers by place, as hashes.
 
     Entry i takes the TAKEN labelled k-mers that are least under hash i and keeps the order in which
     they stand in the text, so two documents agree in it if they share those k-mers in that order.
     """
-    g = labelled_kmers(numbers)
-    if not len(g):
-        return np.zeros(0, dtype=np.uint64)
     out = np.empty(ENTRIES, dtype=np.uint64)
     at_once = max(1, FLAT // len(g))
     with np.errstate(over="ignore"):
@@ -75,6 +74,18 @@ def sketch(numbers: np.ndarray) -> np.ndarray:
     return out
 
 
+def sketch(numbers: np.ndarray) -> np.ndarray:
+    """The entries of a document as hashes, ENTRIES for each k whose range its number of words is in. Texts under
+    five words have none: an edit of them is more than SIMILARITY allows."""
+    found = [entries_of(labelled_kmers(numbers, k)) for k, least, most in KMERS if least <= len(numbers) <= most]
+    return np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
+
+
+def tally(numbers: np.ndarray) -> np.ndarray:
+    counts = np.bincount((mix64(numbers) % np.uint64(TALLIES)).astype(np.int64), minlength=TALLIES)
+    return np.minimum(counts, 255).astype(np.uint8)
+
+
 def edit_distance(a: Sequence[Hashable], b: Sequence[Hashable], most: int) -> int | None:
     """Word edits between a and b, None if more than `most`: an alignment in the band of `most` diagonals to
     either side, a column of the band in one integer.
@@ -116,10 +127,16 @@ def edit_distance(a: Sequence[Hashable], b: Sequence[Hashable], most: int) -> in
     return far if far <= most else None
 
 
+def edits_allowed(longer: int | np.ndarray, least: float = SIMILARITY) -> int | np.ndarray:
+    """Word edits that two texts may differ in, by the words of the longer."""
+    x = (1 - least) * longer + 1e-9
+    return x.astype(np.int64) if isinstance(x, np.ndarray) else int(x)
+
+
 def similar(a: list[bytes], b: list[bytes], least: float = SIMILARITY) -> bool:
     """Whether 1 - word edits / words of the longer text is at least `least`."""
     longer = max(len(a), len(b))
-    most = int((1 - least) * longer + 1e-9)
+    most = edits_allowed(longer, least)
     if abs(len(a) - len(b)) > most:
         return False
     ids: dict[bytes, int] = {}
@@ -129,237 +146,163 @@ def similar(a: list[bytes], b: list[bytes], least: float = SIMILARITY) -> bool:
     return bool(longer - both <= most) and edit_distance(x, y, most) is not None
 
 
-def _digest(ws: list[bytes]) -> bytes:
-    return xxhash.xxh128_digest(b" ".join(ws))
+SKETCHES = "id long, same binary, n int, tally binary, entries array<long>"
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """entry, id, n of each document; of copies in one task only the first is sketched. A document under
-    KMER words has one entry, its whole text."""
-    seen: set[bytes] = set()
+    """Of each document with words: id, digest of its words, number of words, tally and sketch."""
     for b in batches:
-        ids, sizes, entries = [], [], []
+        rows = []
         for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            ws = words(text)
-            same = _digest(ws)
-            if not ws or same in seen:
+            if ws := words(text):
+                numbers = word_numbers(ws)
+                same = xxhash.xxh128_digest(b" ".join(ws))
+                rows.append((i, same, len(ws), tally(numbers).tobytes(), sketch(numbers).view(np.int64)))
+        kinds = (pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
+        columns = zip(*rows, strict=True) if rows else ((),) * 5
+        arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays(arrays, names=["id", "same", "n", "tally", "entries"])
+
+
+def _near_ones(at: int, first: int, n: np.ndarray, c: np.ndarray, part: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places before `at` (from `first`) of other components that its text can be similar to, and how far their
+    tallies are. An edit changes the counts of two texts and their numbers of words by two in all, and capped
+    counts differ by less. Texts of one part are compared only where no other part is there."""
+    others = np.arange(first, at)[c[first:at] != c[at]]
+    if part[0] != part[-1] or (part != part[0]).any():
+        others = others[part[others] != part[at]]
+    apart = np.abs(counts[others] - counts[at]).sum(axis=1, dtype=np.int64) + (n[at] - n[others])
+    close = apart <= 2 * edits_allowed(int(n[at]))
+    return others[close], apart[close]
+
+
+def _compared(nth: int | None):
+    """Pairs (a, b) from rows (cell, part, id, n, c, tally) by cell and n: all of different components that can be
+    similar; with nth, of each document only the nth nearest of those with no more words, by tally."""
+
+    def pairs_of(rows: pa.Table) -> Iterator[np.ndarray]:
+        cell, part, i, n, c = (rows.column(x).to_numpy() for x in range(5))
+        starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        counts = np.frombuffer(b"".join(rows.column(5).to_pylist()), dtype=np.uint8).reshape(-1, TALLIES)
+        for lo, hi in zip(starts, np.r_[starts[1:], len(cell)], strict=True):
+            if hi - lo < 2 or (c[lo:hi] == c[lo]).all():
                 continue
-            if len(seen) > REMEMBERED:
-                seen.clear()
-            seen.add(same)
-            s = sketch(word_numbers(ws)) if len(ws) >= KMER else np.frombuffer(same[:8], dtype=np.uint64)
-            ids.append(np.full(len(s), i, dtype=np.int64))
-            sizes.append(np.full(len(s), len(ws), dtype=np.int32))
-            entries.append(s.view(np.int64))
-        if ids:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(x)) for x in (entries, ids, sizes)], names=["entry", "id", "n"]
-            )
-
-
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by their first column, those whose value of it isn't alone."""
-    held = None
-    for b in batches:
-        if held is not None:
-            b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
-        e = b.column(0).to_numpy()
-        same = e[1:] == e[:-1]
-        keep = np.r_[False, same] | np.r_[same, False]
-        # the last row waits for what follows; one before it with its value goes along as a witness
-        tail = 2 if len(e) > 1 and same[-1] else 1
-        cut = len(e) - 1
-        yield b.slice(0, cut).filter(pa.array(keep[:cut] & ~_witness(held, len(e))[:cut]))
-        held = b.slice(len(e) - tail)
-    if held is not None and len(held) > 1:
-        yield held.slice(1)
-
-
-def _witness(held: pa.RecordBatch | None, n: int) -> np.ndarray:
-    """The first row of a batch has gone out already if two rows were held back."""
-    out = np.zeros(n, dtype=bool)
-    out[0] = held is not None and len(held) > 1
-    return out
+            own = counts[lo:hi].astype(np.int16)
+            first = np.searchsorted(n[lo:hi], SIMILARITY * n[lo:hi] - 1e-9)
+            for at in range(1, hi - lo):
+                others, apart = _near_ones(at, first[at], n[lo:hi], c[lo:hi], part[lo:hi], own)
+                if nth is not None and len(others):
+                    others = others[np.argsort(apart, kind="stable")][min(nth, len(others) - 1)][None]
+                if len(others):
+                    x, y = i[lo:hi][others], i[lo + at]
+                    yield np.stack([np.minimum(x, y), np.maximum(x, y)])
 
+    def found(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        out, size = [], 0
+        for x in pairs_of(rows):
+            out.append(x)
+            size += x.shape[1]
+            if size > FLAT:
+                yield flushed(out)
+                out, size = [], 0
+        if out:
+            yield flushed(out)
 
-def _candidates(reach: int):
-    """Pairs (a, b) from rows (entry, id, n, component) of an entry by number of words: each document with
-    the last of each of the `reach` other groups before it, however many rows they have, and with the firsts of its size class and the one
-    before; a class ends where SIMILARITY can't reach its first any more. The number of pairs is in
-    proportion to the rows."""
+    def flushed(out: list[np.ndarray]) -> pa.RecordBatch:
+        a, b = np.unique(np.concatenate(out, axis=1), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        entry, firsts, before = None, [], {}
+        held: list[pa.RecordBatch] = []
         for b in batches:
-            found = set()
-            for e, i, n, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                if e != entry:
-                    entry, firsts, before = e, [], {}
-                near = 0
-                for other, (j, size) in reversed(before.items()):
-                    if size < SIMILARITY * n - 1e-9 or near == reach:
-                        break
-                    if other != c:
-                        near += 1
-                        found.add((min(i, j), max(i, j)))
-                for j, size, other in firsts:
-                    if size >= SIMILARITY * n - 1e-9 and other != c:
-                        found.add((min(i, j), max(i, j)))
-                before.pop(c, None)
-                before[c] = i, n
-                if len(before) > reach + 1:
-                    del before[next(iter(before))]
-                if not firsts or firsts[-1][1] < SIMILARITY * n:
-                    firsts = [*firsts[-1:], (i, n, c)]
-            left, right = zip(*found, strict=True) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+            if not len(b):
+                continue
+            cell = b.column(0).to_numpy()
+            cut = int(np.searchsorted(cell, cell[-1]))  # the last cell waits for what follows
+            if held and held[-1].column(0)[-1].as_py() != cell[0]:
+                yield from found(pa.Table.from_batches(held))
+                held = []
+            if cut:
+                yield from found(pa.Table.from_batches([*held, b.slice(0, cut)]))
+                held = []
+            held.append(b.slice(cut))
+        if held:
+            yield from found(pa.Table.from_batches(held))
 
     return run
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (entry, id, n, component) by entry and number of words: of an entry of up to SMALL rows all
-    pairs (a, b) of different groups that can reach SIMILARITY; of a larger one each document as (id, null, component)."""
-    entry, held, crowd, seen = None, [], False, set()
-    for b in batches:
-        found = []
-        for e, i, n, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
-            if e != entry:
-                entry, held, crowd = e, [], False
-            if not crowd:
-                found += [(min(i, j), max(i, j), None) for j, size, other in held if other != c and size >= SIMILARITY * n - 1e-9]
-                held.append((i, n, c))
-            if crowd or len(held) > SMALL:
-                found += [(j, None, other) for j, _, other in ([(i, n, c)] if crowd else held) if j not in seen]
-                seen.update((i,) if crowd else (j for j, _, _ in held))
-                held, crowd = [], True
-        if len(seen) > REMEMBERED:
-            seen.clear()
-        columns = zip(*dict.fromkeys(found), strict=True) if found else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["a", "b", "c"])
+def _pairs(rows: DataFrame, tallies: DataFrame, nth: int | None) -> DataFrame:
+    """Pairs (a, b) of documents of rows (key, id, n, c, m) that share a key, m being the key's rows.
+
+    A key of up to CROWD rows is one cell. A larger one is cut into parts by a hash of the id: with nth each part is
+    a cell of its own, by another hash each time; without it any two parts make a cell, so that all pairs meet.
+    """
+    parts = F.ceil(F.col("m") / CROWD).cast("int")
+    part = F.pmod(F.xxhash64("id", F.lit(-1 if nth is None else nth)), parts).cast("int")
+    rows = rows.select("key", "id", "n", "c", parts.alias("parts"), part.alias("part"))
+    if nth is None:
+        # a part meets itself in the first cell, with part 0 for all, and each other part in one
+        other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+        rows = rows.select("*", other)
+        low, high = F.least("part", "other"), F.greatest("part", "other")
+        part = F.when(F.col("part") == F.col("other"), 0).otherwise(F.col("part") + 1)
+    else:
+        low, high, part = F.col("part"), F.col("part"), F.lit(0)
+    rows = rows.select(F.xxhash64("key", low, high).alias("cell"), part.alias("part"), "id", "n", "c")
+    dealt = rows.join(tallies, ["id", "n"]).select("cell", "part", "id", "n", "c", "tally")
+    return dealt.repartition("cell").sortWithinPartitions("cell", "n", "id").mapInArrow(_compared(nth), "a long, b long").distinct()
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        found = [labelled_kmers(word_numbers(words(x)), 2) for x in b.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["pair"])
+        found = [labelled_kmers(word_numbers(words(x)), 1) for x in b.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["word"])
 
 
-def rare_pairs(numbers: np.ndarray, frequent: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    """The rarest labelled pairs of words of a document, as many as every text of SIMILARITY shares one of.
+def rare_words(numbers: np.ndarray, frequent: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The rarest labelled words of a document, as many as every text of SIMILARITY shares one of.
 
-    A word edit changes at most two pairs of words, so texts of m <= n words and up to d = (1 - SIMILARITY) n
-    edits share n - 1 - 2 d labelled pairs or more. In any order of all pairs that holds for both texts,
-    the first 2 d + 1 of the longer and m - n + 2 d + 1 of the shorter have one in common; the latter is
-    no more than 2 (1 - SIMILARITY) m + 2 rounded down to whole edits. frequent: sorted, others come first.
+    Texts of m <= n words and up to d = (1 - SIMILARITY) n edits share n - d labelled words or more. In any order
+    of all words that holds for both texts, the first d + 1 of the longer and the first m - n + d + 1 of the shorter
+    have one in common; both are (1 - SIMILARITY) of their words, rounded down, and one, at most.
+    frequent: sorted, others come first.
     """
-    g = labelled_kmers(numbers, 2)
-    most = 2 * int((1 - SIMILARITY) * len(numbers) + 1e-9) + 2
-    if most >= len(g):
-        return g
+    g = labelled_kmers(numbers, 1)
     rank = np.zeros(len(g), dtype=np.int64)
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, g), len(frequent) - 1)
         rank = np.where(frequent[at] == g, ranks[at], 0)
-    return g[np.lexsort((g, rank))[:most]]
+    return g[np.lexsort((g, rank))[: edits_allowed(len(numbers)) + 1]]
 
 
 def _rare(frequent: np.ndarray, ranks: np.ndarray):
-    """Rows (pair, id, n, component, tally) of the rarest pairs of words of documents (id, component, text);
-    tally, the document's words counted by hash up to 255, stands where the pair is frequent."""
+    """Rows (key, id, n, c) of the rarest words of documents (id, c, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, counts, sizes, tallies = [np.zeros(0, dtype=np.uint64)], [], [], []
-            for text in b.column(2).to_pylist():
-                numbers = word_numbers(words(text))
-                rare = rare_pairs(numbers, frequent, ranks)
-                tally = np.minimum(np.bincount((mix64(numbers) % np.uint64(TALLIES)).astype(np.int64), minlength=TALLIES), 255)
-                known = np.isin(rare, frequent)
-                tally = tally.astype(np.uint8).tobytes()
-                tallies += [tally if x else None for x in known.tolist()]
-                keys.append(rare)
-                counts.append(len(rare))
-                sizes.append(len(numbers))
+            numbers = [word_numbers(words(x)) for x in b.column(2).to_pylist()]
+            keys = [rare_words(x, frequent, ranks) for x in numbers]
+            counts = [len(x) for x in keys]
             ids, owners = (np.repeat(b.column(x).to_numpy(), counts) for x in (0, 1))
-            columns = [np.concatenate(keys).view(np.int64), ids, np.repeat(np.array(sizes, dtype=np.int32), counts), owners]
-            yield pa.RecordBatch.from_arrays(
-                [*map(pa.array, columns), pa.array(tallies, pa.binary())], names=["pair", "id", "n", "c", "tally"]
-            )
+            sizes = np.repeat(np.array([len(x) for x in numbers], dtype=np.int32), counts)
+            key = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, ids, sizes, owners)], names=["key", "id", "n", "c"])
 
     return run
 
 
-def _pairs_of(i: np.ndarray, n: np.ndarray, c: np.ndarray, tally: np.ndarray | None) -> Iterator[np.ndarray]:
-    """Pairs of different groups that can reach SIMILARITY, of one pair of words; by number of words. An edit
-    changes the counts of a tally and the number of words by two in all, and capped counts differ by less."""
-    first = np.searchsorted(n, SIMILARITY * n - 1e-9)
-    for at in range(1, len(i)):
-        others = np.arange(first[at], at)[c[first[at] : at] != c[at]]
-        if tally is not None and len(others):
-            apart = np.abs(tally[others] - tally[at]).sum(axis=1, dtype=np.int64) + (n[at] - n[others])
-            others = others[apart <= 2 * int((1 - SIMILARITY) * int(n[at]) + 1e-9)]
-        if len(others):
-            yield np.stack([np.minimum(i[others], i[at]), np.maximum(i[others], i[at])])
-
-
-def _rare_met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) from rows (pair, id, n, component, tally) by pair and number of words."""
-    held: list[pa.RecordBatch] = []
-
-    def found(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, i, n, c = (rows.column(x).to_numpy() for x in range(4))
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        out, size = [], 0
-        for lo, hi in zip(starts, np.r_[starts[1:], len(key)], strict=True):
-            if hi - lo < 2 or (c[lo:hi] == c[lo]).all():
-                continue
-            tally = None
-            if rows.column(4)[int(lo)].is_valid:
-                counts = b"".join(rows.column(4).slice(lo, hi - lo).to_pylist())
-                tally = np.frombuffer(counts, dtype=np.uint8).reshape(-1, TALLIES).astype(np.int16)
-            for x in _pairs_of(i[lo:hi], n[lo:hi], c[lo:hi], tally):
-                out.append(x)
-                size += x.shape[1]
-                if size > FLAT:
-                    yield flushed(out)
-                    out, size = [], 0
-        if out:
-            yield flushed(out)
-
-    def flushed(out: list[np.ndarray]) -> pa.RecordBatch:
-        a, b = np.unique(np.concatenate(out, axis=1), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    for b in batches:
-        if not len(b):
-            continue
-        key = b.column(0).to_numpy()
-        cut = int(np.searchsorted(key, key[-1]))  # the last pair of words waits for what follows
-        if held and held[-1].column(0)[-1].as_py() != key[0]:
-            yield from found(pa.Table.from_batches(held))
-            held = []
-        if cut:
-            yield from found(pa.Table.from_batches([*held, b.slice(0, cut)]))
-            held = []
-        held.append(b.slice(cut))
-    if held:
-        yield from found(pa.Table.from_batches(held))
-
-
-def _crowded_pairs(crowd: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different groups among the documents (id, component) of crowded entries: all that
-    can reach SIMILARITY, by their rarest pairs of words. Nothing is left out for standing far apart."""
-    read = written_table(texts.join(crowd.hint("shuffle_hash"), "id").select("id", "c", "text"), "crowd")
+def _by_rare_words(crowd: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows (key, id, n, c) of the documents (id, c) of crowded entries: those that can be similar share a key."""
+    read = written_table(docs.join(crowd.hint("shuffle_hash"), "id").select("id", "c", "text"), "crowd")
     parts = -(-read.count() // COUNTED)
     some = read.where(F.pmod(F.xxhash64("id"), F.lit(max(1, parts))) == 0).select("text")
-    counts = some.mapInArrow(_counted, "pair long").groupBy("pair").agg(F.count("*").alias("n")).where("n > 1")
+    counts = some.mapInArrow(_counted, "word long").groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
     top = counts.orderBy(F.desc("n")).limit(FREQUENT).toArrow()
     frequent, ranks = (top.column(x).to_numpy() for x in range(2))
     frequent = frequent.view(np.uint64)
     order = np.argsort(frequent)
-    keys = read.mapInArrow(_rare(frequent[order], ranks[order]), "pair long, id long, n int, c long, tally binary")
-    return keys.repartition("pair").sortWithinPartitions("pair", "n", "id").mapInArrow(_rare_met, "a long, b long")
+    return read.mapInArrow(_rare(frequent[order], ranks[order]), "key long, id long, n int, c long")
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,11 +312,23 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _same_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        split = [words(x) for x in b.column(1).to_pylist()]
-        digests = [_digest(ws) if ws else None for ws in split]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digests, pa.binary())], names=["id", "same"])
+def _links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) whose texts are similar."""
+    pairs = written_table(pairs, "pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    if ids.limit(FEW + 1).count() <= FEW:
+        docs = docs.join(F.broadcast(ids), "id", "left_semi")
+    left, right = (docs.select(F.col("id").alias(x), F.col("text").alias(y)) for x, y in (("a", "x"), ("b", "y")))
+    both = right.join(left.join(pairs.hint("shuffle_hash"), "a").hint("shuffle_hash"), "b").select("a", "b", "x", "y")
+    return written_table(both.mapInArrow(_verified, "a long, b long"), "near")
+
+
+def _live(placed: DataFrame) -> DataFrame:
+    """Of rows (key, id, n, c) those whose key has several components, with the key's rows as m."""
+    sizes = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m"))
+    # as a table, so that the join can split the rows of a hot key
+    sizes = written_table(sizes.where("lo < hi").select("key", "m"), "live")
+    return placed.join(sizes, "key").select("key", "id", "n", "c", "m")
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -381,59 +336,49 @@ def groups(docs: DataFrame) -> DataFrame:
     is the smallest id of the group.
 
     Two documents are near copies if 1 - word edits / words of the longer is SIMILARITY or more. Documents
-    of equal words are grouped by digest; others meet in the entries of their sketches, and pairs that
-    meet are verified by banded alignment. Groups are the connected components. First rounds compare documents
-    that stand near each other in an entry, as two of one group need no comparing after; they only save work.
-    The last round is always run, whatever they find, and takes every pair of different groups that shares an entry: in entries of up to SMALL rows
-    all, in crowded ones all that share one of their rarest pairs of words, which near copies do (see
-    rare_pairs()). Each of these is verified, however many documents stand between.
+    of equal words are grouped by digest, and the one of the smallest id stands for them. Others meet in the
+    entries of their sketches; pairs that meet and whose tallies allow it are verified by banded alignment. Groups
+    are the connected components.
+
+    First rounds compare each document with one of another component in each entry, until a round finds no
+    link; they only save work, as two of one component need no comparing after. The last round takes every pair
+    of different components that shares an entry: in entries of up to CROWD documents directly, those of larger ones
+    by their rarest words, of which near copies share one (see rare_words()). No task compares more than about
+    2 CROWD documents, and none is left out for standing in a crowd.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null and text is not null")
-    entries = rows.mapInArrow(_sketched, "entry long, id long, n int")
-    dealt = entries.repartition("entry").sortWithinPartitions("entry")
-    met = written_table(dealt.mapInArrow(_shared, "entry long, id long, n int"), "entries")
-    ids = met.select("id").distinct().hint("shuffle_hash")
-    texts = written_table(rows.join(ids, "id", "left_semi"), "texts")
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("x"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
-    classes = rows.mapInArrow(_same_words, "id long, same binary").where("same is not null")
-    least = classes.groupBy("same").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    copies = classes.join(least.hint("merge"), "same").select("a", F.col("id").alias("b"))
-    found, tested = components(written_table(copies, "copies")), None
-
-    def placed_in(found: DataFrame) -> DataFrame:
-        placed = met.join(found.hint("merge"), "id", "left").select("entry", "id", "n", F.coalesce("component", "id").alias("c"))
-        return placed.repartition("entry").sortWithinPartitions("entry", "n", "id")
-
-    def stars(found: DataFrame) -> DataFrame:
-        return found.select(F.col("component").alias("a"), F.col("id").alias("b"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = right.join(left.join(pairs.hint("shuffle_hash"), "a").hint("shuffle_hash"), "b").select("a", "b", "x", "y")
-        return written_table(both.mapInArrow(_verified, "a long, b long"), "near")
-
-    most = 0
+    sketches = written_table(rows.mapInArrow(_sketched, SKETCHES), "sketches")
+    least = sketches.groupBy("same").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
+    least = written_table(least.select("same", "a"), "classes")
+    copies = written_table(sketches.select("same", F.col("id").alias("b")).join(least, "same").select("a", "b"), "copies")
+    # an id that stands for no class of its own is compared through the one that does
+    gone = copies.groupBy(F.col("b").alias("id")).agg(F.max(F.col("a") == F.col("b")).alias("stands"), F.count("*").alias("n"))
+    texts = sketches.groupBy("id").agg(F.count("*").alias("texts"))
+    gone = gone.where("not stands").join(texts, "id").where("n = texts").select("id")
+    entries = sketches.select(F.explode("entries").alias("key"), "id", "n")
+    shared = entries.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
+    shared = written_table(shared, "shared")
+    met = written_table(entries.join(shared, "key").join(written_table(gone, "gone"), "id", "left_anti"), "entries")
+    tallies = sketches.select("id", "n", "tally")
+    links = copies.where("a != b")
+    found = links.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("component"))
+    nth = 0
     while True:
-        pairs = placed_in(found).mapInArrow(_candidates(NEIGHBOURS), "a long, b long").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested.hint("merge"), ["a", "b"], "left_anti")
-        pairs = written_table(pairs, "pairs")
-        near = verified(pairs)
-        tested = pairs if tested is None else tested.union(pairs)
-        n = near.count()
-        if n:
-            found = components(stars(found).union(near))
-        most = max(most, n)
-        if n * WORTH <= most:  # few links are left, and the last round finds them all
+        placed = met.join(found, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
+        met = written_table(_live(placed), "entries")  # an entry of one component stays one
+        near = _links(_pairs(met, tallies, nth), rows)
+        if near.isEmpty():
             break
-    # whatever has been linked by then: every pair that is left
-    marked = written_table(placed_in(found).mapInArrow(_met, "a long, b long, c long"), "met")
-    crowd = marked.where("b is null").select(F.col("a").alias("id"), "c").distinct()
-    pairs = marked.where("b is not null").select("a", "b").union(_crowded_pairs(crowd, texts)).distinct()
-    near = verified(pairs.join(tested.hint("merge"), ["a", "b"], "left_anti"))
-    return found if near.isEmpty() else components(stars(found).union(near))
+        links = links.union(near)
+        found = components(links)
+        nth += 1
+    crowd = met.where(F.col("m") > CROWD).select("id", "c").distinct()
+    pairs = _pairs(met.where(F.col("m") <= CROWD), tallies, None)
+    if not crowd.isEmpty():
+        pairs = pairs.union(_pairs(_live(_by_rare_words(crowd, rows)), tallies, None)).distinct()
+    return components(links.union(_links(pairs, rows)))
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -456,5 +401,5 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """docs without the documents that have a near copy of a smaller doc_id in their group."""
-    go = groups(docs).where("id != component").select(F.col("id").alias("_gone"))
-    return docs.join(go.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    go = groups(docs).where("id != component").select("id")
+    return docs.join(go.hint("shuffle_hash"), docs["doc_id"].cast("long") == go["id"], "left_anti")

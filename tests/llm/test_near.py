@@ -7,7 +7,8 @@ import pyarrow as pa
 
 from tessera.llm.common import components, words
 from tessera.llm.embeddings import filters_of, near_duplicates
-from tessera.llm.orderhash import _candidates, edit_distance, keep_one_of_each, near_copies, rare_pairs, similar, sketch
+from tessera.llm import orderhash
+from tessera.llm.orderhash import _compared, edit_distance, edits_allowed, keep_one_of_each, near_copies, rare_words, similar, sketch, tally
 from tessera.llm.substring import word_numbers
 
 from .conftest import odd_texts, prose
@@ -91,14 +92,58 @@ def test_near_copies_none_next_to_each_other(spark):
     assert len(meet) > 5 and all(got[i + 200] == i for i in meet)
 
 
-def test_candidates_beyond_a_large_group():
-    rows = [(7, 1, 60, 1), (7, 2, 60, 2), *((7, i, 60, 3) for i in range(3, 403)), (7, 500, 60, 500)]
-    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["entry", "id", "n", "c"])
-    found = {tuple(x.values()) for b in _candidates(2)(iter([batch])) for x in b.to_pylist()}
-    assert (2, 500) in found and (402, 500) in found and not any(3 <= a and b < 500 for a, b in found)
-
-
-def test_rare_pairs_shared():
+def test_near_copies_in_parts(spark, monkeypatch):
+    """Crowds beyond the bound of a task are split by rare words and by parts, and lose nothing."""
+    texts = crowded(400, 200, 42)
+    whole = grouped(spark, texts)
+    monkeypatch.setattr(orderhash, "CROWD", 30)
+    assert grouped(spark, texts) == whole
+
+
+def test_near_copies_of_a_template(spark):
+    shared, texts = prose(1, 78).split(), {}
+    for i in range(300):
+        page = shared + prose(1000 + i, 22).split()
+        r = random.Random(i)
+        edited = list(page)
+        for at in r.sample(range(100), 5):
+            edited[at] = f"x{i}.{at}"
+        texts[i], texts[i + 300] = " ".join(page), " ".join(edited)
+    split = [words(texts[i]) for i in range(600)]
+    assert not similar(split[3], split[4])
+    got = grouped(spark, texts)
+    assert all(got[i + 300] == got[i] for i in range(300))
+    # pages are never linked but through copies that really are similar to two of them
+    linked = {i: [j for j in range(600) if j != i and similar(split[i], split[j])] for i in range(600)}
+    assert got == closure(range(600), linked)
+
+
+def test_sketch_recall():
+    """Of pairs whose share of edited words is all that SIMILARITY allows, 0.9 or more meet in an entry, at any length."""
+    r = random.Random(5)
+    for n, times in ((5, 200), (8, 200), (10, 200), (19, 200), (20, 200), (50, 200), (99, 200), (124, 200), (125, 200), (300, 120), (1000, 60)):
+        for least in (0.8, 0.85):
+            met = 0
+            for t in range(times):
+                a = prose(r.randrange(1 << 30), n).split()
+                b = list(a)
+                for at in r.sample(range(n), int((1 - least) * n + 1e-9)):
+                    b[at] = f"z{t}.{at}"
+                met += bool(set(sketch(word_numbers(words(" ".join(a)))).tolist()) & set(sketch(word_numbers(words(" ".join(b)))).tolist()))
+            assert met >= 0.9 * times, (n, least, met)
+
+
+def test_compared_beyond_a_large_group():
+    one = tally(word_numbers([b"a"] * 60)).tobytes()
+    rows = [(7, 0, i, 60, c, one) for i, c in [(1, 1), (2, 2), *((i, 3) for i in range(3, 403)), (500, 500)]]
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["cell", "part", "id", "n", "c", "tally"])
+    all_ = [tuple(x.values()) for b in _compared(None)(iter([batch.slice(0, 5), batch.slice(5)])) for x in b.to_pylist()]
+    assert len(all_) == len(set(all_)) == 403 * 402 // 2 - 400 * 399 // 2
+    nearest = [tuple(x.values()) for b in _compared(0)(iter([batch])) for x in b.to_pylist()]
+    assert len(nearest) == 402 and set(nearest) <= set(all_)
+
+
+def test_tallies_and_rare_words_lose_nothing():
     r = random.Random(8)
     for n in [*range(5, 40), 200] * 4:
         ws = [b"%d" % r.randrange(30) for _ in range(n)]
@@ -106,10 +151,12 @@ def test_rare_pairs_shared():
         for _ in range(int(n * 0.2) + 1):
             at = r.randrange(len(edited))
             edited[at : at + 1] = r.choice([[], [b"z"], [edited[at], b"y"]])
-        if len(edited) >= 5 and similar(ws, edited):
+        if similar(ws, edited):
             x, y = word_numbers(ws), word_numbers(edited)
-            frequent = np.unique(np.concatenate([rare_pairs(x, x[:0], x[:0])[:3], rare_pairs(y, x[:0], x[:0])[:3]]))
-            a, b = (rare_pairs(v, frequent, np.arange(1, len(frequent) + 1)) for v in (x, y))
+            apart = np.abs(tally(x).astype(int) - tally(y)).sum() + abs(len(x) - len(y))
+            assert apart <= 2 * edits_allowed(max(len(x), len(y)))
+            frequent = np.unique(np.concatenate([rare_words(x, x[:0], x[:0])[:3], rare_words(y, x[:0], x[:0])[:3]]))
+            a, b = (rare_words(v, frequent, np.arange(1, len(frequent) + 1)) for v in (x, y))
             assert len(np.intersect1d(a, b))
 
 

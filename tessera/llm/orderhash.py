@@ -22,8 +22,11 @@ KMERS = ((2, 5, 19), (3, 16, 124), (5, 100, 1 << 62))
 TAKEN, ENTRIES = 2, 72
 #: Hash values that stand in memory at once.
 FLAT = 1 << 20
-#: Words are counted by hash in so many places, each up to 255, to tell texts of other words apart without reading them.
-TALLIES = 128
+#: Words are counted by hash in so many places, to tell texts of other words apart without reading them: up to 255
+#: in each of the few, up to 15 in each of the many, which the last round looks at where the few don't tell.
+TALLIES, WIDE = 128, 1024
+#: First rounds go on while one finds more than one of so many parts of the most links of a round.
+WORTH = 20
 #: Documents that one task compares with each other: crowds beyond it are split.
 CROWD = 1000
 #: Ids up to which the documents of a round's pairs are found by a broadcast of their ids (8 bytes each).
@@ -81,9 +84,15 @@ def sketch(numbers: np.ndarray) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
 
 
-def tally(numbers: np.ndarray) -> np.ndarray:
-    counts = np.bincount((mix64(numbers) % np.uint64(TALLIES)).astype(np.int64), minlength=TALLIES)
-    return np.minimum(counts, 255).astype(np.uint8)
+def tally(numbers: np.ndarray, places: int = TALLIES, most: int = 255) -> np.ndarray:
+    counts = np.bincount((mix64(numbers) % np.uint64(places)).astype(np.int64), minlength=places)
+    return np.minimum(counts, most).astype(np.uint8)
+
+
+def wide_tally(numbers: np.ndarray) -> bytes:
+    """tally() of WIDE places, two of them in a byte."""
+    counts = tally(numbers, WIDE, 15)
+    return (counts[::2] | counts[1::2] << 4).tobytes()
 
 
 def edit_distance(a: Sequence[Hashable], b: Sequence[Hashable], most: int) -> int | None:
@@ -146,56 +155,66 @@ def similar(a: list[bytes], b: list[bytes], least: float = SIMILARITY) -> bool:
     return bool(longer - both <= most) and edit_distance(x, y, most) is not None
 
 
-SKETCHES = "id long, same binary, n int, tally binary, entries array<long>"
+SKETCHES = "id long, same binary, n int, tally binary, wide binary, entries array<long>"
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each document with words: id, digest of its words, number of words, tally and sketch."""
+    """Of each document with words: id, digest of its words, number of words, tallies and sketch."""
     for b in batches:
         rows = []
         for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             if ws := words(text):
                 numbers = word_numbers(ws)
                 same = xxhash.xxh128_digest(b" ".join(ws))
-                rows.append((i, same, len(ws), tally(numbers).tobytes(), sketch(numbers).view(np.int64)))
-        kinds = (pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
-        columns = zip(*rows, strict=True) if rows else ((),) * 5
+                rows.append((i, same, len(ws), tally(numbers).tobytes(), wide_tally(numbers), sketch(numbers).view(np.int64)))
+        kinds = (pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+        columns = zip(*rows, strict=True) if rows else ((),) * 6
         arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-        yield pa.RecordBatch.from_arrays(arrays, names=["id", "same", "n", "tally", "entries"])
+        yield pa.RecordBatch.from_arrays(arrays, names=["id", "same", "n", "tally", "wide", "entries"])
 
 
-def _near_ones(at: int, first: int, n: np.ndarray, c: np.ndarray, part: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places before `at` (from `first`) of other components that its text can be similar to, and how far their
+def _close(at: int, others: np.ndarray, n: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the places `others` whose text that at `at`, of no fewer words, can be similar to, and how far their
     tallies are. An edit changes the counts of two texts and their numbers of words by two in all, and capped
-    counts differ by less. Texts of one part are compared only where no other part is there."""
-    others = np.arange(first, at)[c[first:at] != c[at]]
-    if part[0] != part[-1] or (part != part[0]).any():
-        others = others[part[others] != part[at]]
+    counts differ by less."""
     apart = np.abs(counts[others] - counts[at]).sum(axis=1, dtype=np.int64) + (n[at] - n[others])
     close = apart <= 2 * edits_allowed(int(n[at]))
     return others[close], apart[close]
 
 
+def _unpacked(wide: pa.ChunkedArray) -> np.ndarray:
+    pairs = np.frombuffer(b"".join(wide.to_pylist()), dtype=np.uint8).reshape(-1, WIDE // 2)
+    return np.stack([pairs & 15, pairs >> 4], axis=2).reshape(-1, WIDE).astype(np.int8)
+
+
 def _compared(nth: int | None):
-    """Pairs (a, b) from rows (cell, part, id, n, c, tally) by cell and n: all of different components that can be
+    """Pairs (a, b) from rows (cell, part, id, n, c, tally, wide) by cell and n: all of different components that can be
     similar; with nth, of each document only the nth nearest of those with no more words, by tally."""
 
     def pairs_of(rows: pa.Table) -> Iterator[np.ndarray]:
-        cell, part, i, n, c = (rows.column(x).to_numpy() for x in range(5))
-        starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-        counts = np.frombuffer(b"".join(rows.column(5).to_pylist()), dtype=np.uint8).reshape(-1, TALLIES)
-        for lo, hi in zip(starts, np.r_[starts[1:], len(cell)], strict=True):
-            if hi - lo < 2 or (c[lo:hi] == c[lo]).all():
+        cells = rows.column(0).to_numpy()
+        starts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
+        for lo, hi in zip(starts, np.r_[starts[1:], len(cells)], strict=True):
+            own = rows.slice(lo, hi - lo)
+            part, i, n, c = (own.column(x).to_numpy() for x in range(1, 5))
+            if hi - lo < 2 or (c == c[0]).all():
                 continue
-            own = counts[lo:hi].astype(np.int16)
-            first = np.searchsorted(n[lo:hi], SIMILARITY * n[lo:hi] - 1e-9)
+            counts = np.frombuffer(b"".join(own.column(5).to_pylist()), dtype=np.uint8).reshape(-1, TALLIES).astype(np.int16)
+            wide, parted = None, (part != part[0]).any()
+            first = np.searchsorted(n, SIMILARITY * n - 1e-9)
             for at in range(1, hi - lo):
-                others, apart = _near_ones(at, first[at], n[lo:hi], c[lo:hi], part[lo:hi], own)
-                if nth is not None and len(others):
+                others = np.arange(first[at], at)[c[first[at] : at] != c[at]]
+                if parted:  # texts of one part meet where no other part is
+                    others = others[part[others] != part[at]]
+                others, apart = _close(at, others, n, counts)
+                if not len(others):
+                    continue
+                if nth is not None:
                     others = others[np.argsort(apart, kind="stable")][min(nth, len(others) - 1)][None]
-                if len(others):
-                    x, y = i[lo:hi][others], i[lo + at]
-                    yield np.stack([np.minimum(x, y), np.maximum(x, y)])
+                else:
+                    wide = _unpacked(own.column(6)) if wide is None else wide
+                    others, _ = _close(at, others, n, wide)
+                yield np.stack([np.minimum(i[others], i[at]), np.maximum(i[others], i[at])])
 
     def found(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         out, size = [], 0
@@ -250,7 +269,8 @@ def _pairs(rows: DataFrame, tallies: DataFrame, nth: int | None) -> DataFrame:
     else:
         low, high, part = F.col("part"), F.col("part"), F.lit(0)
     rows = rows.select(F.xxhash64("key", low, high).alias("cell"), part.alias("part"), "id", "n", "c")
-    dealt = rows.join(tallies, ["id", "n"]).select("cell", "part", "id", "n", "c", "tally")
+    wide = F.lit(None).cast("binary") if nth is not None else F.col("wide")
+    dealt = rows.join(tallies, ["id", "n"]).select("cell", "part", "id", "n", "c", "tally", wide.alias("wide"))
     return dealt.repartition("cell").sortWithinPartitions("cell", "n", "id").mapInArrow(_compared(nth), "a long, b long").distinct()
 
 
@@ -340,8 +360,8 @@ def groups(docs: DataFrame) -> DataFrame:
     entries of their sketches; pairs that meet and whose tallies allow it are verified by banded alignment. Groups
     are the connected components.
 
-    First rounds compare each document with one of another component in each entry, until a round finds no
-    link; they only save work, as two of one component need no comparing after. The last round takes every pair
+    First rounds compare each document with one of another component in each entry, until a round finds few
+    links; they only save work, as two of one component need no comparing after. The last round takes every pair
     of different components that shares an entry: in entries of up to CROWD documents directly, those of larger ones
     by their rarest words, of which near copies share one (see rare_words()). No task compares more than about
     2 CROWD documents, and none is left out for standing in a crowd.
@@ -361,17 +381,19 @@ def groups(docs: DataFrame) -> DataFrame:
     shared = entries.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
     shared = written_table(shared, "shared")
     met = written_table(entries.join(shared, "key").join(written_table(gone, "gone"), "id", "left_anti"), "entries")
-    tallies = sketches.select("id", "n", "tally")
+    tallies = sketches.select("id", "n", "tally", "wide")
     links = copies.where("a != b")
     found = links.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("component"))
-    nth = 0
+    nth = most = 0
     while True:
         placed = met.join(found, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
         met = written_table(_live(placed), "entries")  # an entry of one component stays one
         near = _links(_pairs(met, tallies, nth), rows)
-        if near.isEmpty():
-            break
+        n = near.count()
         links = links.union(near)
+        most = max(most, n)
+        if n * WORTH <= most:  # few links are left, and the last round finds them all
+            break
         found = components(links)
         nth += 1
     crowd = met.where(F.col("m") > CROWD).select("id", "c").distinct()

@@ -8,7 +8,7 @@ import pyarrow as pa
 from tessera.llm.common import components, words
 from tessera.llm.embeddings import filters_of, near_duplicates
 from tessera.llm import orderhash
-from tessera.llm.orderhash import _compared, edit_distance, edits_allowed, keep_one_of_each, near_copies, rare_words, similar, sketch, tally
+from tessera.llm.orderhash import _compared, edit_distance, edits_allowed, keep_one_of_each, near_copies, rare_words, similar, sketch, tally, wide_tally
 from tessera.llm.substring import word_numbers
 
 from .conftest import odd_texts, prose
@@ -135,8 +135,8 @@ def test_sketch_recall():
 
 def test_compared_beyond_a_large_group():
     one = tally(word_numbers([b"a"] * 60)).tobytes()
-    rows = [(7, 0, i, 60, c, one) for i, c in [(1, 1), (2, 2), *((i, 3) for i in range(3, 403)), (500, 500)]]
-    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["cell", "part", "id", "n", "c", "tally"])
+    rows = [(7, 0, i, 60, c, one, wide_tally(word_numbers([b"a"] * 60))) for i, c in [(1, 1), (2, 2), *((i, 3) for i in range(3, 403)), (500, 500)]]
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["cell", "part", "id", "n", "c", "tally", "wide"])
     all_ = [tuple(x.values()) for b in _compared(None)(iter([batch.slice(0, 5), batch.slice(5)])) for x in b.to_pylist()]
     assert len(all_) == len(set(all_)) == 403 * 402 // 2 - 400 * 399 // 2
     nearest = [tuple(x.values()) for b in _compared(0)(iter([batch])) for x in b.to_pylist()]
@@ -153,8 +153,9 @@ def test_tallies_and_rare_words_lose_nothing():
             edited[at : at + 1] = r.choice([[], [b"z"], [edited[at], b"y"]])
         if similar(ws, edited):
             x, y = word_numbers(ws), word_numbers(edited)
-            apart = np.abs(tally(x).astype(int) - tally(y)).sum() + abs(len(x) - len(y))
-            assert apart <= 2 * edits_allowed(max(len(x), len(y)))
+            for a, b in ((tally(x), tally(y)), (tally(x, 1024, 15), tally(y, 1024, 15))):
+                apart = np.abs(a.astype(int) - b).sum() + abs(len(x) - len(y))
+                assert apart <= 2 * edits_allowed(max(len(x), len(y)))
             frequent = np.unique(np.concatenate([rare_words(x, x[:0], x[:0])[:3], rare_words(y, x[:0], x[:0])[:3]]))
             a, b = (rare_words(v, frequent, np.arange(1, len(frequent) + 1)) for v in (x, y))
             assert len(np.intersect1d(a, b))

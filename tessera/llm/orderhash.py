@@ -24,12 +24,14 @@ TAKEN, ENTRIES = 2, 72
 FLAT = 1 << 20
 #: Words are counted by hash in so many places, to tell texts of other words apart without reading them: up to 255
 #: in each of the few, up to 15 in each of the many, which the last round looks at where the few don't tell.
-TALLIES, WIDE = 128, 1024
-#: First rounds go on while one finds more than one of so many parts of the most links of a round.
-WORTH = 20
+TALLIES, WIDE = 128, 4096
+#: First rounds take one of so many parts of the entries, others in each round, and go on while one finds more than
+#: one of so many parts of the most links of a round.
+PORTION, WORTH = 4, 20
 #: Documents that one task compares with each other: crowds beyond it are split.
 CROWD = 1000
-#: Ids up to which the documents of a round's pairs are found by a broadcast of their ids (8 bytes each).
+#: Ids up to which the documents of a later round's pairs are found by a broadcast of their ids (8 bytes each). The
+#: first round's are in proportion to the corpus, so they are joined.
 FEW = 50_000
 #: Documents whose words are counted, and the most frequent of these that the driver holds: only an order of
 #: the words, so neither changes the result.
@@ -182,14 +184,25 @@ def _close(at: int, others: np.ndarray, n: np.ndarray, counts: np.ndarray) -> tu
     return others[close], apart[close]
 
 
-def _unpacked(wide: pa.ChunkedArray) -> np.ndarray:
-    pairs = np.frombuffer(b"".join(wide.to_pylist()), dtype=np.uint8).reshape(-1, WIDE // 2)
-    return np.stack([pairs & 15, pairs >> 4], axis=2).reshape(-1, WIDE).astype(np.int8)
+class _Wide:
+    """Wide tallies of a cell's rows, unpacked as they are asked for."""
+
+    def __init__(self, packed: pa.ChunkedArray) -> None:
+        self.packed, self.known = packed, np.zeros(len(packed), dtype=bool)
+        self.counts = np.empty((len(packed), WIDE), dtype=np.int8)
+
+    def of(self, places: np.ndarray) -> np.ndarray:
+        for k in places[~self.known[places]].tolist():
+            pairs = np.frombuffer(self.packed[k].as_py(), dtype=np.uint8)
+            self.counts[k, ::2], self.counts[k, 1::2] = pairs & 15, pairs >> 4
+            self.known[k] = True
+        return self.counts
 
 
 def _compared(nth: int | None):
-    """Pairs (a, b) from rows (cell, part, id, n, c, tally, wide) by cell and n: all of different components that can be
-    similar; with nth, of each document only the nth nearest of those with no more words, by tally."""
+    """Pairs (a, b) from rows (cell, part, id, n, c, tally, wide, key, keys) by cell and n: all of different components
+    that can be similar, each in the least key that both documents have; with nth, of each document only the nth
+    nearest of those with no more words, by tally."""
 
     def pairs_of(rows: pa.Table) -> Iterator[np.ndarray]:
         cells = rows.column(0).to_numpy()
@@ -201,6 +214,7 @@ def _compared(nth: int | None):
                 continue
             counts = np.frombuffer(b"".join(own.column(5).to_pylist()), dtype=np.uint8).reshape(-1, TALLIES).astype(np.int16)
             wide, parted = None, (part != part[0]).any()
+            key, keys = own.column(7)[0].as_py(), {}
             first = np.searchsorted(n, SIMILARITY * n - 1e-9)
             for at in range(1, hi - lo):
                 others = np.arange(first[at], at)[c[first[at] : at] != c[at]]
@@ -212,8 +226,12 @@ def _compared(nth: int | None):
                 if nth is not None:
                     others = others[np.argsort(apart, kind="stable")][min(nth, len(others) - 1)][None]
                 else:
-                    wide = _unpacked(own.column(6)) if wide is None else wide
-                    others, _ = _close(at, others, n, wide)
+                    wide = wide or _Wide(own.column(6))
+                    others, _ = _close(at, others, n, wide.of(np.r_[others, at]))
+                    for k in (at, *others.tolist()) if len(others) else ():
+                        if k not in keys:
+                            keys[k] = frozenset(own.column(8)[k].as_py())
+                    others = others[[min(keys[at] & keys[k]) == key for k in others.tolist()]] if len(others) else others
                 yield np.stack([np.minimum(i[others], i[at]), np.maximum(i[others], i[at])])
 
     def found(rows: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -255,10 +273,16 @@ def _pairs(rows: DataFrame, tallies: DataFrame, nth: int | None) -> DataFrame:
     """Pairs (a, b) of documents of rows (key, id, n, c, m) that share a key, m being the key's rows.
 
     A key of up to CROWD rows is one cell. A larger one is cut into parts by a hash of the id: with nth each part is
-    a cell of its own, by another hash each time; without it any two parts make a cell, so that all pairs meet.
+    a cell of its own, by another hash each time; without it any two parts make a cell, so that all pairs meet. The
+    keys of a document, which its rows carry to tell in which key it meets another first, are bounded by its
+    entries, or a fifth of its words.
     """
     parts = F.ceil(F.col("m") / CROWD).cast("int")
     part = F.pmod(F.xxhash64("id", F.lit(-1 if nth is None else nth)), parts).cast("int")
+    wide, keys = F.lit(None).cast("binary").alias("wide"), F.lit(None).cast("array<long>").alias("keys")
+    if nth is None:
+        wide, keys = F.col("wide"), F.col("keys")
+        tallies = rows.groupBy("id", "n").agg(F.collect_set("key").alias("keys")).join(tallies, ["id", "n"])
     rows = rows.select("key", "id", "n", "c", parts.alias("parts"), part.alias("part"))
     if nth is None:
         # a part meets itself in the first cell, with part 0 for all, and each other part in one
@@ -268,9 +292,8 @@ def _pairs(rows: DataFrame, tallies: DataFrame, nth: int | None) -> DataFrame:
         part = F.when(F.col("part") == F.col("other"), 0).otherwise(F.col("part") + 1)
     else:
         low, high, part = F.col("part"), F.col("part"), F.lit(0)
-    rows = rows.select(F.xxhash64("key", low, high).alias("cell"), part.alias("part"), "id", "n", "c")
-    wide = F.lit(None).cast("binary") if nth is not None else F.col("wide")
-    dealt = rows.join(tallies, ["id", "n"]).select("cell", "part", "id", "n", "c", "tally", wide.alias("wide"))
+    rows = rows.select(F.xxhash64("key", low, high).alias("cell"), part.alias("part"), "id", "n", "c", "key")
+    dealt = rows.join(tallies, ["id", "n"]).select("cell", "part", "id", "n", "c", "tally", wide, "key", keys)
     return dealt.repartition("cell").sortWithinPartitions("cell", "n", "id").mapInArrow(_compared(nth), "a long, b long").distinct()
 
 
@@ -332,11 +355,11 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _links(pairs: DataFrame, docs: DataFrame, first: bool = False) -> DataFrame:
     """Those of pairs (a, b) whose texts are similar."""
     pairs = written_table(pairs, "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    if ids.limit(FEW + 1).count() <= FEW:
+    if not first and ids.limit(FEW + 1).count() <= FEW:
         docs = docs.join(F.broadcast(ids), "id", "left_semi")
     left, right = (docs.select(F.col("id").alias(x), F.col("text").alias(y)) for x, y in (("a", "x"), ("b", "y")))
     both = right.join(left.join(pairs.hint("shuffle_hash"), "a").hint("shuffle_hash"), "b").select("a", "b", "x", "y")
@@ -360,7 +383,7 @@ def groups(docs: DataFrame) -> DataFrame:
     entries of their sketches; pairs that meet and whose tallies allow it are verified by banded alignment. Groups
     are the connected components.
 
-    First rounds compare each document with one of another component in each entry, until a round finds few
+    First rounds compare each document with one of another component in some of the entries, until a round finds few
     links; they only save work, as two of one component need no comparing after. The last round takes every pair
     of different components that shares an entry: in entries of up to CROWD documents directly, those of larger ones
     by their rarest words, of which near copies share one (see rare_words()). No task compares more than about
@@ -388,7 +411,8 @@ def groups(docs: DataFrame) -> DataFrame:
     while True:
         placed = met.join(found, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
         met = written_table(_live(placed), "entries")  # an entry of one component stays one
-        near = _links(_pairs(met, tallies, nth), rows)
+        some = met.where(F.pmod(F.xxhash64("key", F.lit(nth)), F.lit(PORTION)) == 0)
+        near = _links(_pairs(some, tallies, nth), rows, nth == 0)
         n = near.count()
         links = links.union(near)
         most = max(most, n)

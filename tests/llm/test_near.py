@@ -4,11 +4,12 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from tessera.llm.common import components, words
 from tessera.llm.embeddings import filters_of, near_duplicates
 from tessera.llm import orderhash
-from tessera.llm.orderhash import _compared, edit_distance, edits_allowed, keep_one_of_each, near_copies, rare_words, similar, sketch, tally, wide_tally
+from tessera.llm.orderhash import _compared, edit_distance, edits_allowed, keep_one_of_each, near_copies, rare_words, similar, sketch, tally, wide_tally, WIDE
 from tessera.llm.substring import word_numbers
 
 from .conftest import odd_texts, prose
@@ -135,10 +136,13 @@ def test_sketch_recall():
 
 def test_compared_beyond_a_large_group():
     one = tally(word_numbers([b"a"] * 60)).tobytes()
-    rows = [(7, 0, i, 60, c, one, wide_tally(word_numbers([b"a"] * 60))) for i, c in [(1, 1), (2, 2), *((i, 3) for i in range(3, 403)), (500, 500)]]
-    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["cell", "part", "id", "n", "c", "tally", "wide"])
+    rows = [(7, 0, i, 60, c, one, wide_tally(word_numbers([b"a"] * 60)), 5, [5, 9]) for i, c in [(1, 1), (2, 2), *((i, 3) for i in range(3, 403)), (500, 500)]]
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["cell", "part", "id", "n", "c", "tally", "wide", "key", "keys"])
     all_ = [tuple(x.values()) for b in _compared(None)(iter([batch.slice(0, 5), batch.slice(5)])) for x in b.to_pylist()]
     assert len(all_) == len(set(all_)) == 403 * 402 // 2 - 400 * 399 // 2
+    # a key that is not the least of both leaves the pair to that one
+    later = batch.set_column(7, "key", pa.array([9] * len(rows)))
+    assert not any(len(b) for b in _compared(None)(iter([later])))
     nearest = [tuple(x.values()) for b in _compared(0)(iter([batch])) for x in b.to_pylist()]
     assert len(nearest) == 402 and set(nearest) <= set(all_)
 
@@ -153,7 +157,7 @@ def test_tallies_and_rare_words_lose_nothing():
             edited[at : at + 1] = r.choice([[], [b"z"], [edited[at], b"y"]])
         if similar(ws, edited):
             x, y = word_numbers(ws), word_numbers(edited)
-            for a, b in ((tally(x), tally(y)), (tally(x, 1024, 15), tally(y, 1024, 15))):
+            for a, b in ((tally(x), tally(y)), (tally(x, WIDE, 15), tally(y, WIDE, 15))):
                 apart = np.abs(a.astype(int) - b).sum() + abs(len(x) - len(y))
                 assert apart <= 2 * edits_allowed(max(len(x), len(y)))
             frequent = np.unique(np.concatenate([rare_words(x, x[:0], x[:0])[:3], rare_words(y, x[:0], x[:0])[:3]]))
@@ -202,12 +206,29 @@ def test_embeddings(spark):
     assert (found[905].n_links, found[906].component_id) == (1, 905) and len(got) == len(rows) + len(odd)
 
 
-def test_filters_meet():
+@pytest.mark.parametrize(("dim", "least"), [(1, 1), (2, 1), (4, 1), (8, 1), (15, 1), (16, 0.99), (64, 0.99), (768, 0.99)])
+def test_filters_meet(dim, least):
     rng = np.random.default_rng(4)
-    x, z = rng.standard_normal((2, 400, 64))
+    x, z = rng.standard_normal((2, 400, dim))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    z -= (z * x).sum(axis=1, keepdims=True) * x
-    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    if dim > 1:
+        z -= (z * x).sum(axis=1, keepdims=True) * x
+        z /= np.linalg.norm(z, axis=1, keepdims=True)
+    else:
+        z = x
     y = 0.9 * x + np.sqrt(1 - 0.81) * z
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
     met = [len(np.intersect1d(a, b)) > 0 for a, b in zip(filters_of(x), filters_of(y), strict=True)]
-    assert np.mean(met) >= 0.99
+    assert np.mean(met) >= least
+    assert all((np.diff(f) > 0).all() for f in filters_of(x))
+
+
+def test_short_embeddings(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((300, 4)).astype(np.float32)
+    rows = [(i, [float(y) for y in v], "n", 1) for i, v in enumerate(x)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<float>, v string, component_id int")
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near_by = (u @ u.T >= 0.9) & ~np.eye(300, dtype=bool)
+    want = closure(range(300), {i: np.flatnonzero(near_by[i]).tolist() for i in range(300)})
+    assert {r.vec_id: (r.n_links, r.component_id) for r in near_duplicates(docs).collect()} == {i: (near_by[i].sum(), want[i]) for i in range(300)}

@@ -28,6 +28,48 @@ WHITE_RANGES = [(0x9, 0xD), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0
     (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)
 ]
 
+#: Fixed values of the Unicode versions that the vocabulary's library goes by, as ranges of code points: letters and
+#: numbers that unicodedata (15.1) doesn't know, letters and numbers of later versions that the library doesn't know,
+#: and marks that its normal form neither reorders nor composes.
+ADDED_LETTERS = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85),
+    (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5),
+    (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA),
+    (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+]
+ADDED_NUMBERS = [
+    (0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79),
+    (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA),
+]
+LATER = [
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F),
+    (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2),
+    (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7),
+    (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1),
+    (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3),
+    (0x16FF2, 0x16FF6), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2),
+    (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6),
+    (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE),
+    (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF),
+    (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+]
+PLAIN_MARKS = [
+    (0x7FD, 0x7FD), (0x898, 0x89F), (0x8CA, 0x8D3), (0x9FE, 0x9FE), (0xC3C, 0xC3C), (0xD3B, 0xD3C), (0xEBA, 0xEBA),
+    (0x1715, 0x1715), (0x1ABF, 0x1ACE), (0x1DF6, 0x1DFA), (0xA82C, 0xA82C), (0x10D24, 0x10D27), (0x10EAB, 0x10EAC),
+    (0x10EFD, 0x10EFF), (0x10F46, 0x10F50), (0x10F82, 0x10F85), (0x11070, 0x11070), (0x1133B, 0x1133B),
+    (0x1145E, 0x1145E), (0x11839, 0x1183A), (0x11930, 0x11930), (0x1193D, 0x1193E), (0x11943, 0x11943),
+    (0x119E0, 0x119E0), (0x11A34, 0x11A34), (0x11A47, 0x11A47), (0x11A99, 0x11A99), (0x11D42, 0x11D42),
+    (0x11D44, 0x11D45), (0x11D97, 0x11D97), (0x11F41, 0x11F42), (0x16FF0, 0x16FF1), (0x1E08F, 0x1E08F),
+    (0x1E130, 0x1E136), (0x1E2AE, 0x1E2AE), (0x1E2EC, 0x1E2EF), (0x1E4EC, 0x1E4EF),
+]
+#: Capitals of these versions, first and last, and the small letter of the first.
+CAPITALS = [
+    (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF),
+    (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B),
+    (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
+]
+SMALL = {a + i: small + i for a, b, small in CAPITALS for i in range(b - a + 1)}
+
 
 def character_class(ranges: Iterable[tuple[int, int]]) -> str:
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
@@ -39,10 +81,13 @@ def latin_class(major: str) -> list[tuple[int, int]]:
 
 @lru_cache(maxsize=4)
 def category_class(major: str) -> str:
-    """Code points of a general category by the Unicode version of unicodedata; regex may be years ahead
-    of the version that the vocabulary's library splits by. (55 capitals that are newer than that version
-    stay as they are under lower().)"""
+    """Letters (L) or numbers (N) as the vocabulary's library knows them, whatever the version of unicodedata from
+    15.1 on."""
     hit = np.array([unicodedata.category(chr(i))[0] == major for i in range(0x110000)], dtype=np.int8)
+    for a, b in LATER:
+        hit[a : b + 1] = 0
+    for a, b in ADDED_LETTERS if major == "L" else ADDED_NUMBERS:
+        hit[a : b + 1] = 1
     edge = np.flatnonzero(np.diff(np.r_[0, hit, 0]))
     return character_class(zip(edge[::2].tolist(), (edge[1::2] - 1).tolist(), strict=True))
 
@@ -87,9 +132,12 @@ class WordBpe:
         split = f"'s|'t|'re|'ve|'m|'ll|'d|[{{0}}]+|[{{1}}]|[^{white}{{0}}{{1}}]+"
         self.pieces = regex.compile(split.format(r"\p{L}", r"\p{N}"))
         self.latin_pieces = re.compile(split.format(*(character_class(latin_class(x)) for x in "LN")))
-        # long lists of ranges are slow, so they serve only texts with a character that regex alone counts
+        # long lists of ranges are slow, so they serve only texts with a character that regex counts otherwise
         letter, number = category_class("L"), category_class("N")
-        self.newer = regex.compile(rf"(?V1)[[\p{{L}}\p{{N}}]--[{letter}{number}]]")
+        self.newer = regex.compile(rf"(?V1)[[\p{{L}}~~[{letter}]][\p{{N}}~~[{number}]]]")
+        capitals = character_class((a, b) for a, b, _ in CAPITALS)
+        self.plain_marks = re.compile(f"([{character_class(PLAIN_MARKS)}])")
+        self.late = re.compile(f"[{capitals}{character_class(PLAIN_MARKS)}]")
         self.exact_pieces = regex.compile(split.format(letter, number))
         self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.cache: dict[str, bytes] = {}
@@ -111,7 +159,11 @@ class WordBpe:
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            text = unicodedata.normalize("NFC", text)
+            if self.late.search(text):
+                # a mark that takes no part in the normal form parts what stands before and after it
+                text = "".join(unicodedata.normalize("NFC", x) for x in self.plain_marks.split(text)).translate(SMALL)
+            else:
+                text = unicodedata.normalize("NFC", text)
             pieces = self.exact_pieces if self.newer.search(text) else self.pieces
             # lower case letter by letter: a capital sigma has one small form here wherever it stands
             return pieces.findall(text.replace("Σ", "σ").lower())

@@ -17,8 +17,18 @@ from pyspark.sql import types as T
 
 from .common import bounded_batches
 
-#: A candidate: 16 characters or more of those that keys and encodings are made of.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_\-]{16,}={0,2}")
+#: 16 characters or more of those that keys and encodings are made of.
+RUN = r"[A-Za-z0-9+/_\-]{16,}={0,2}"
+#: Values of six characters or more of any kind are candidates too where a word for a secret is given them, and
+#: so is what a URL has as its password, and a signed token with its dots.
+CANDIDATE = re.compile(
+    r"(?:passw(?:or)?d|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|auth|credentials?)[\"']?[ \t]{0,3}(?:=|:(?!//))[ \t]{0,3}"
+    rf"(?:\"(?P<double>[^\"\s]{{6,200}})\"|'(?P<single>[^'\s]{{6,200}})'|(?P<run>{RUN}(?![^\s\"'<>,;)\]}}*!]))|(?P<bare>[^\s\"'<>,;)\]}}]{{6,200}}))"
+    r"|://[^\s:/@]{1,80}:(?P<url>[^\s/]{3,200})@(?=[\w\[])"
+    r"|(?P<signed>eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,})"
+    rf"|(?P<plain>{RUN})",
+    re.IGNORECASE,
+)
 #: Characters on either side that neighbouring words are looked for in.
 AROUND = 40
 #: Labelled findings that the default forest is trained on, and its size. Bounded, whatever is scanned.
@@ -45,9 +55,14 @@ def transitions() -> np.ndarray:
     return np.log(n / n.sum(axis=1, keepdims=True))
 
 
+def candidates(text: str) -> list[tuple[int, int]]:
+    """start, end of each candidate of a text, in order; none overlaps another."""
+    return [m.span(m.lastgroup) for m in CANDIDATE.finditer(text)]
+
+
 def features(before: str, candidate: str, after: str) -> list[float]:
     """Length, character classes and transitions, dictionary coverage, path and neighbouring words."""
-    body = candidate.rstrip("=")
+    body = candidate.rstrip("=") or candidate
     n = len(body)
     kinds = [0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 for c in body]
     share = [kinds.count(k) / n for k in range(4)]
@@ -93,8 +108,8 @@ class Finding:
 
 def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[Finding]:
     """n findings with labels, drawn by a fixed seed: issued keys, hexadecimal and base64 tokens in
-    assignments and prose on one side; on the other long words, names, paths, checksums, identifiers,
-    card numbers and placeholders."""
+    assignments and prose, passwords in assignments and URLs on one side; on the other long words, names, paths,
+    checksums, identifiers, card numbers, placeholders, and words, references and settings that are assigned."""
     r = random.Random(seed)
     hexa, alnum, upper = "0123456789abcdef", "".join(map(chr, [*range(48, 58), *range(65, 91), *range(97, 123)])), "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
     draw = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
@@ -105,8 +120,9 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[Finding]:
     for _ in range(n):
         key = r.choice(NEAR_SECRET)
         assign = f'{r.choice([key, key.upper(), key + "_" + r.choice(NAMES)])}{r.choice([" = ", "=", ": ", " : "])}{r.choice(["", chr(34), chr(39)])}'
-        kind = r.randrange(14)
-        before, after, secret = prose() + " ", r.choice([" ", ". ", '" ', '"', "*** ", "!! ", "\n"]) + prose(), kind < 6
+        kind = r.randrange(18)
+        before, after, secret = prose() + " ", r.choice([" ", ". ", '" ', '"', "*** ", "!! ", "\n"]) + prose(), kind < 6 or kind in (14, 15)
+        password = "".join(r.sample([word(), r.choice(NAMES).capitalize(), draw("0123456789", r.randint(1, 4)), draw("!@#$%^&*?.-_", r.randint(1, 2)), draw(alnum, r.randint(0, 6))], 5))
         if kind < 2:
             c = draw(hexa, r.choice([32, 40, 40, 40, 64]))
             c = c.upper() if r.random() < 0.15 else c
@@ -141,12 +157,26 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[Finding]:
             c = r.choice("_-").join(r.choice(NAMES) for _ in range(r.randint(3, 6)))
             c = r.choice([c, c.upper()]) + r.choice(["", "_2", "-01"])
             before += r.choice(["", assign])
+        elif kind == 14:
+            c = r.choice([password, password, draw(alnum, r.randint(8, 15)), draw(hexa, r.randint(10, 15))])
+            before += assign
+        elif kind == 15:
+            c = r.choice([password, draw(alnum, r.randint(8, 20))])
+            before += r.choice(["postgres", "mysql", "https", "amqp", "redis"]) + "://" + r.choice(NAMES) + ":"
+            after = "@" + r.choice([word() + ".org", "localhost", "10.0.0.1"]) + r.choice(["", ":5432", "/main"])
+        elif kind == 16:
+            c = r.choice([word() + word(), word() + word() + r.choice([".", ",", ""]), r.choice(NAMES) + "_" + r.choice(NAMES), r.choice(NAMES) + r.choice(NAMES).capitalize() + "()"])
+            before += assign.rstrip("\"'") if r.random() < 0.7 else assign
+        elif kind == 17:
+            c = r.choice(["${" + r.choice(NAMES).upper() + "_" + key.upper() + "}", "os.environ[" + r.choice(NAMES), "changeme", "password", "required", "optional", "<your-" + key, "********", "undefined", "my_" + key, "{{" + r.choice(NAMES) + "}}", "$" + r.choice(NAMES).upper(), "process.env." + r.choice(NAMES).upper()])
+            before += assign
         else:
             c = r.choice(["x" * r.randint(16, 40), "your_" + key + "_goes_here", "0" * r.randint(16, 40), "EXAMPLE" + key.upper() + "PLACEHOLDER", "-" * r.randint(16, 60), "=" * 3 + "_" * r.randint(16, 30)])
             before += assign
-        m = CANDIDATE.search(c)
-        if m:
-            out.append(Finding(before[-AROUND:], m.group(), (c[m.end() :] + after)[:AROUND], secret))
+        whole = before + c + after
+        at = next((x for x in candidates(whole) if len(before) <= x[0] < len(before) + len(c)), None)
+        if at:
+            out.append(Finding(whole[max(0, at[0] - AROUND) : at[0]], whole[at[0] : at[1]], whole[at[1] : at[1] + AROUND], secret))
     return out
 
 
@@ -214,9 +244,9 @@ def scan(texts: Sequence[str | None], forest: Forest) -> list[list[tuple[int, in
     """start, end (code points) and score of each candidate of each text."""
     spots, rows = [], []
     for i, text in enumerate(texts):
-        for m in CANDIDATE.finditer(text or ""):
-            spots.append((i, m.start(), m.end()))
-            rows.append(features(text[max(0, m.start() - AROUND) : m.start()], m.group(), text[m.end() : m.end() + AROUND]))
+        for a, b in candidates(text or ""):
+            spots.append((i, a, b))
+            rows.append(features(text[max(0, a - AROUND) : a], text[a:b], text[b : b + AROUND]))
     out: list[list[tuple[int, int, float]]] = [[] for _ in texts]
     scores = forest.predict(np.array(rows, dtype=float)) if rows else []
     for (i, a, b), s in zip(spots, scores, strict=True):
@@ -271,7 +301,10 @@ def secret_scan(docs: DataFrame, forest: Forest | None = None, cut: float = CUT)
 
 
 def mask_secrets(docs: DataFrame, forest: Forest | None = None, cut: float = CUT) -> DataFrame:
-    """docs with each secret in text replaced by MASK, and n_chars, where there is one, counted anew."""
+    """docs with each secret in text replaced by MASK, and n_chars, where there is one, counted anew.
+
+    Null texts, empty ones and null n_chars stay as they are. Rows are taken one by one, so repeated rows and null ids
+    stay too, and so do all other columns, whatever their names. An empty table gives an empty one."""
     bounded_batches(docs.sparkSession)
     forest = forest or default_forest()
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema])

@@ -9,12 +9,12 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 
 from .errors import SyntaxQueryError
-from .operators.relational import build
+from .operators.relational import build, known_order
 from .plans.analyzer import Analysis, analyze
 from .plans.ast import Aggregate, Attribute, Column, Condition, Literal, Query
 from .plans.parser import parse
 from .sources.catalog import Catalog
-from .sources.text import write_result
+from .sources.text import write_result, write_table
 
 _ATTRIBUTE = re.compile(r"\s*(?:(MAX|MIN|SUM|COUNT|AVG)\s*\(\s*)?([A-Za-z_]\w*)\.([A-Za-z_]\w*)\s*(\))?\s*")
 
@@ -31,8 +31,9 @@ class Engine:
     def __init__(self, spark: SparkSession, tables: Mapping[str, DataFrame] | None = None) -> None:
         self.spark = spark
         self.catalog = tables if isinstance(tables, Catalog) else Catalog(spark)
-        for name, df in (tables or {}).items():
-            self.catalog.register(name, df)
+        if self.catalog is not tables:
+            for name, df in (tables or {}).items():
+                self.catalog.register(name, df)
 
     def parse(self, text: str) -> Query:
         return parse(text)
@@ -49,7 +50,7 @@ class Engine:
         if watermark:
             column, delay = watermark
             tables = {t: d.withWatermark(column, delay) if d.isStreaming and column in d.columns else d for t, d in tables.items()}
-        return build(done, tables, method)
+        return build(done, tables, method, self.catalog.stats)
 
     sql = dataframe
 
@@ -57,16 +58,22 @@ class Engine:
         return self.catalog[name]
 
     def explain(self, query: str | Query, method: str | None = None) -> str:
-        """The checked query and Spark's formatted plan."""
-        df = self.dataframe(query, method)
+        """The checked query, the order of its joins (x for products) and Spark's formatted plan."""
+        df, done = self.dataframe(query, method), self.analyze(query)
+        groups = known_order(done, {t: self.catalog[t] for t in done.query.tables}, self.catalog.stats)
+        order = " x ".join(" ".join(g) for g in groups)
         mode = self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
-        return f"{self.analyze(query).query}\n{df._jdf.queryExecution().explainString(mode)}"
+        return f"{done.query}\njoin order: {order}\n{df._jdf.queryExecution().explainString(mode)}"
 
     def run(self, query: str | Query, path: str, method: str | None = None) -> int:
         """Write the result as text; returns the number of rows."""
         titles = [str(x) for x in self.analyze(query).select]
         return write_result(self.dataframe(query, method), path, titles)
 
+    def write(self, query: str | Query, path: str, method: str | None = None) -> None:
+        """Write the result as a tab-separated text table; the executors write it, so it can be of any size."""
+        write_table(self.dataframe(query, method), path)
+
     def from_(self, *tables: str) -> Fluent:
         return Fluent(self, Query((), tables))
 

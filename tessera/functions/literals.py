@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from datetime import date, datetime
 
@@ -11,7 +12,11 @@ from pyspark.sql import types as T
 
 from ..errors import TypeMismatch
 
-_WHOLE = re.compile(r"[+-]?\d+")
+_WHOLE = re.compile(r"[+-]?[0-9]+")
+#: Numbers, dates and times that Spark's casts take as well.
+_REAL = re.compile(r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|[+-]?(inf|infinity)|nan", re.IGNORECASE)
+_DATE = re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}")
+_TIME = re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,6})?)?(Z|[+-][0-9]{2}:[0-9]{2})?)?")
 _BITS = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}
 
 
@@ -33,10 +38,15 @@ def check_literal(text: str, kind: T.DataType, where: str) -> None:
             if not -(1 << (_BITS[type(kind)] - 1)) <= int(text) < 1 << (_BITS[type(kind)] - 1):
                 raise ValueError
         elif is_number(kind):
-            float(text)
+            if not _REAL.fullmatch(text.strip()) or (isinstance(kind, T.DecimalType) and not math.isfinite(float(text))):
+                raise ValueError
         elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+            if not _TIME.fullmatch(text):
+                raise ValueError
             datetime.fromisoformat(text)
         elif isinstance(kind, T.DateType):
+            if not _DATE.fullmatch(text):
+                raise ValueError
             date.fromisoformat(text)
         elif isinstance(kind, T.BooleanType):
             if text.lower() not in ("true", "false"):

@@ -15,9 +15,14 @@ from ..functions.aggregates import aggregate
 from ..functions.literals import compare, literal
 from ..plans.analyzer import Analysis
 from ..plans.ast import Aggregate, Column, Condition, Literal
+from ..plans.ordering import components, estimate, order
+from ..sources.statistics import TableStats, plan_bytes, planned
 
 #: Join methods by the names that plans are asked for, as Spark's hints.
 METHODS = {"nested": "shuffle_replicate_nl", "block_nested": "broadcast", "hash": "shuffle_hash", "sort_merge": "merge"}
+#: Estimated bytes of a side up to which it is broadcast on demand, and of both sides of a join up to which each part
+#: of one meets each part of the other; beyond them the method is Spark's choice.
+BROADCAST_BYTES, NESTED_BYTES = 64 << 20, 16 << 20
 
 
 def inner_name(c: Column) -> str:
@@ -42,28 +47,44 @@ def filtered(df: DataFrame, conditions: list[Condition]) -> DataFrame:
     return df
 
 
-def join_all(parts: Mapping[str, DataFrame], joins: list[Condition], method: str | None = None) -> DataFrame:
-    """Tables joined in the order of FROM, each as soon as a condition ties it to what is there; all conditions
-    between them are one join's. Tables that nothing ties together are multiplied."""
+def hinted(left: DataFrame, right: DataFrame, method: str | None) -> DataFrame:
+    """right with the hint of a method, where the sides' size allows it."""
+    if method == "block_nested" and plan_bytes(right) > BROADCAST_BYTES:
+        return right
+    if method == "nested" and max(plan_bytes(left), plan_bytes(right)) > NESTED_BYTES:
+        return right
+    return right.hint(METHODS[method]) if method else right
+
+
+def join_order(done: Analysis, stats: Mapping[str, TableStats]) -> list[list[str]]:
+    """The tables of FROM by what conditions tie together, each group in the order that its joins take; the group of
+    the fewest estimated rows first, as groups are multiplied."""
+    guess = estimate(stats, done.filters, done.joins)
+    groups = [order(g, guess) for g in components(done.query.tables, done.joins)]
+    return sorted(groups, key=lambda g: guess.joined(frozenset(g)))
+
+
+def join_all(parts: Mapping[str, DataFrame], joins: list[Condition], groups: list[list[str]], method: str | None = None) -> DataFrame:
+    """Tables joined in the order of their group; all conditions between them are one join's. Groups are multiplied
+    last, and the product's sides are planned as Spark finds them small or not."""
     if method is not None and method not in METHODS:
         raise QueryError(f"no join method {method}; there are {', '.join(METHODS)}")
-    todo, waiting = list(parts), list(joins)
-    out, have = parts[todo[0]], {todo.pop(0)}
-    while todo:
-        tied = lambda t: [c for c in waiting if {c.left.table, c.right.table} <= have | {t} and t in (c.left.table, c.right.table)]
-        name = next((t for t in todo if tied(t)), None)
-        if name is None:
-            name = todo[0]
-            out = out.crossJoin(parts[name])
-        else:
-            use = tied(name)
-            right = parts[name].hint(METHODS[method]) if method else parts[name]
+    made = []
+    for first, *rest in groups:
+        out, have = parts[first], {first}
+        for name in rest:
+            use = [c for c in joins if name in (c.left.table, c.right.table) and {c.left.table, c.right.table} <= have | {name}]
             on = reduce(lambda a, b: a & b, [predicate(out, c) for c in use])
-            out = out.join(right, on, "inner")
-            waiting = [c for c in waiting if c not in use]
-        have.add(name)
-        todo.remove(name)
-    return filtered(out, waiting)
+            out = out.join(hinted(out, parts[name], method), on, "inner")
+            have.add(name)
+        made.append(out)
+    return reduce(lambda a, b: a.crossJoin(b), made)
+
+
+def known_order(done: Analysis, tables: Mapping[str, DataFrame], stats: Mapping[str, TableStats] | None = None) -> list[list[str]]:
+    if len(done.query.tables) == 1:
+        return [list(done.query.tables)]
+    return join_order(done, {t: (stats or {}).get(t) or planned(tables[t]) for t in done.query.tables})
 
 
 def output_names(select: tuple) -> list[str]:
@@ -84,10 +105,11 @@ def output_names(select: tuple) -> list[str]:
     return out
 
 
-def build(done: Analysis, tables: Mapping[str, DataFrame], method: str | None = None) -> DataFrame:
+def build(done: Analysis, tables: Mapping[str, DataFrame], method: str | None = None, stats: Mapping[str, TableStats] | None = None) -> DataFrame:
+    """stats: of the tables that have any; the others' are taken from their plans."""
     q = done.query
     parts = {t: filtered(scan(tables[t], t), done.filters.get(t, [])) for t in q.tables}
-    df = join_all(parts, done.joins, method)
+    df = join_all(parts, done.joins, known_order(done, tables, stats), method)
     col = lambda x: F.col(f"`{x}`" if isinstance(x, Aggregate) else f"`{inner_name(x)}`")
     aggregates = list(dict.fromkeys(x for x in done.select if isinstance(x, Aggregate)))
     if aggregates:

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import QueryError
-from .schema import TableSpec
+from .files import read_small, write_small
+from .schema import TableSpec, parse_spec
+from .statistics import TableStats, format_stats, gathered
+from .text import write_table
 
 
 def _draw(seed: int, salt: object) -> Column:
@@ -22,7 +25,8 @@ def _letter(seed: int, salt: str) -> Callable[[Column], Column]:
 
 
 def _permuted(seed: int, salt: str, n: int) -> Column:
-    """Row numbers below n dealt to distinct numbers below n: rounds of steps that each can be undone."""
+    """Row numbers below n dealt to distinct numbers below n: an affine step modulo n, whose factor shares no divisor
+    with n, so it can be undone."""
     step = next(s for s in range(n // 2 + 1 + abs(hash_of(salt, seed)) % max(1, n // 3), 2 * n + 3) if _coprime(s, n))
     return F.pmod(F.col("id") * F.lit(step) + F.lit(abs(hash_of(salt, seed + 1)) % n), F.lit(n))
 
@@ -59,10 +63,20 @@ def generate(spark: SparkSession, spec: TableSpec, rows: int, seed: int = 0) ->
     return spark.range(rows).select(*out)
 
 
+def generate_table(spark: SparkSession, folder: str, name: str, rows: int, seed: int = 0) -> TableStats:
+    """Text table folder/<name>.txt of random rows after folder/<name>.det, and its statistics in folder/<name>.stat."""
+    spec = parse_spec(read_small(spark, f"{folder}/{name}.det"))
+    made = generate(spark, spec, rows, seed)
+    write_table(made, f"{folder}/{name}.txt")
+    stats = gathered(made, exact=True)
+    write_small(spark, f"{folder}/{name}.stat", format_stats(stats, made.columns))
+    return stats
+
+
 def statistics(df: DataFrame) -> tuple[int, dict[str, int]]:
     """Rows, and distinct values of each column, counted exactly."""
-    counts = df.agg(F.count("*"), *[F.count_distinct(F.col(f"`{c}`")) for c in df.columns]).first()
-    return counts[0], dict(zip(df.columns, counts[1:], strict=True))
+    found = gathered(df, exact=True)
+    return found.rows, dict(found.distinct)
 
 
 def is_key(df: DataFrame, column: str) -> bool:

@@ -57,6 +57,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with underscores, whichever no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def words(text: str | None) -> list[bytes]:
     """Runs of `[^\\x20\\x09-\\x0D]+`: the white space of bytes.split() is exactly that set."""
     return (text or "").encode("utf-8", "surrogatepass").split()

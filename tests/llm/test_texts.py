@@ -1,13 +1,18 @@
 """Operators on single texts, chat windows and mixing."""
 
 import hashlib
+import random
+import unicodedata
 
 import numpy as np
+import pandas as pd
 import pytest
 
+from tessera.llm import mixing
 from tessera.llm import quality as q
 from tessera.llm.bpe import decode, encode, round_trip_digests, word_bpe
 from tessera.llm.chat import digests, windows
+from tessera.llm.orderhash import keep_one_of_each
 from tessera.llm.mixing import _fit_table, fit_cells, keep_mixture, mixture
 from tessera.llm.secrets import CUT, MASK, Finding, candidates, features, labelled_findings, mask_secrets, scan, secret_scan, train
 from tessera.llm.tokencount import UnigramCounter, token_counts
@@ -72,8 +77,9 @@ def test_bpe_of_every_code_point():
     tokenizers = pytest.importorskip("tokenizers")
     path = P.path("word_bpe_49k.json")
     lib, own = tokenizers.Tokenizer.from_file(path), word_bpe(path)
-    points = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
-    for form in ("a%sb ", "%s%s!7 ", "é%ş ȩ%ś "):
+    every = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    marks = [c for c in every if unicodedata.category(c)[0] == "M"]
+    for form, points in (("a%sb %s%s!7 ", every), ("é%ş ȩ%ś ", marks)):
         texts = ["".join(form.replace("%s", c) for c in points[at : at + 512]) for at in range(0, len(points), 512)]
         for at, (raw, want) in enumerate(zip(own.encode_batch(texts), lib.encode_batch(texts, add_special_tokens=False), strict=True)):
             ids = np.frombuffer(raw, dtype="<u4")
@@ -210,6 +216,54 @@ def test_mixing(spark, odd, none):
     assert b.to_dict() == pytest.approx(a.to_dict(), rel=1e-9)
 
 
+def test_mixing_bounds(spark, monkeypatch):
+    """What a cell can't give is spread over the others: expected and drawn shares meet targets within reach, on the
+    driver's path and on the table's."""
+    r, rows = random.Random(4), []
+    for i in range(3000):
+        s, l, n = r.choice("aaaaaab"), r.choice("xxxy"), r.choice([20, 60, 400])
+        rows.append((i, prose(i, n) + (" | " if r.random() < 0.3 else ""), l, s, "mine", "too", "b", "c", "d"))
+    names = ["doc_id", "text", "lang", "source", "kept", "topic", "_mixture", "_source", "_d"]
+    docs = spark.createDataFrame(rows, names)
+    want = {"source": {"a": 0.75, "b": 0.25}, "lang": {"x": 0.6, "y": 0.4}, "topic": {"table": 0.4, "long prose": 0.5, "short prose": 0.1}}
+    found = {}
+    for cells in (mixing.DRIVER_CELLS, 0):
+        monkeypatch.setattr(mixing, "DRIVER_CELLS", cells)
+        monkeypatch.setattr(mixing, "ROUNDS", 12)
+        got = mixture(docs, want, 0.5).toPandas()
+        found[cells] = got.set_index("doc_id")["probability"].sort_index()
+        assert set(names) - {"kept", "topic"} < set(got.columns) and (got["_source"] == "c").all()
+        total = got["n_tokens"].sum()
+        expected, drawn = got["n_tokens"] * got["probability"], got["n_tokens"] * got["kept"]
+        assert (got["probability"] > 1 - 1e-9).any() and got["probability"].max() <= 1
+        assert expected.sum() == pytest.approx(0.5 * total, rel=0.01) and drawn.sum() == pytest.approx(0.5 * total, rel=0.05)
+        for d, shares in want.items():
+            for what, near in ((expected, 0.005), (drawn, 0.03)):
+                assert (what.groupby(got[d]).sum() / (0.5 * total)).to_dict() == pytest.approx(shares, abs=near)
+    a, b = found.values()
+    assert b.to_dict() == pytest.approx(a.to_dict(), rel=1e-9)
+    kept = keep_mixture(docs, want, 0.5)
+    assert kept.columns == names and {(x.kept, x.topic, x._d) for x in kept.collect()} == {("mine", "too", "d")}
+
+
+def test_targets_within_reach():
+    r = random.Random(2)
+    for _ in range(300):
+        n = r.randint(1, 6)
+        want = pd.Series([r.choice([0, 1, r.random()]) for _ in range(n)], index=list("abcdef")[:n], dtype=float)
+        have = pd.Series([r.choice([0, r.random() + 0.01]) for _ in range(n)], index=want.index, dtype=float)
+        want = want.where(have > 0, 0.0)
+        if not want.sum():
+            continue
+        want, most = want / want.sum(), have / have.sum() / r.choice([0.2, 0.7, 1])
+        got, fixed = mixing.within_reach(want, most), set()
+        for _ in range(n):  # cut, and spread what is left, until nothing is over its bound
+            scale = (1 - sum(most[v] for v in fixed)) / (sum(want[v] for v in want.index if v not in fixed) or 1)
+            fixed |= {v for v in want.index if want[v] > 0 and want[v] * scale >= most[v]}
+        scale = (1 - sum(most[v] for v in fixed)) / (sum(want[v] for v in want.index if v not in fixed) or 1)
+        assert got.to_dict() == pytest.approx({v: most[v] if v in fixed else want[v] * scale for v in want.index}, abs=1e-9)
+
+
 def test_mixing_targets_that_cannot_be_met(spark, monkeypatch):
     import tessera.llm.mixing as mixing
 
@@ -230,3 +284,29 @@ def test_pipeline(spark, tmp_path):
     ids = {r.doc_id for r in out}
     assert ids and not ids & {100, 101} and all(len(r.ids) == r.n_tokens for r in out)
     assert all("0123456789abcdef" not in r.text for r in out)
+
+
+def test_pipeline_odd_rows(spark, odd, none, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, columns with the operators' names, an empty table."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    spark.createDataFrame([(i, 1, 0) for i in (1, 3, 9, 12)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = odd
+    for name, stage in pipeline.STAGES[:-1]:
+        made = stage(spark, docs, str(tmp_path))
+        assert made.columns == odd.columns, name
+        docs = spark.createDataFrame(made.collect(), odd.schema)
+    for df, folder in ((odd, "odd"), (none, "none")):
+        df.write.parquet(str(tmp_path / folder / "documents.parquet"))
+        spark.read.parquet(str(tmp_path / "labels.parquet")).write.parquet(str(tmp_path / folder / "labels.parquet"))
+    rows = pipeline.run(spark, str(tmp_path / "odd")).collect()
+    assert sorted((str(r.doc_id), r.text) for r in rows) == sorted((str(r.doc_id), r.text) for r in docs.collect())
+    assert all(r.h in ("x", None) and r.n_tokens == len(r.ids) for r in rows) and not any(r.text is None for r in rows)
+    assert pipeline.run(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_names_of_working_columns(spark):
+    texts = [prose(1, 60), prose(1, 60), prose(2, 60)]
+    rows = [(i, t, "en", "a", "mine", "mine", "mine", "mine") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", "_gone", "id", "component", "kept"])
+    left = keep_one_of_each(docs)
+    assert left.columns == docs.columns and [r.asDict() for r in left.orderBy("doc_id").collect()] == [dict(zip(docs.columns, rows[i])) for i in (0, 2)]

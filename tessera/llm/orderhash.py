@@ -23,13 +23,16 @@ TAKEN, ENTRIES = 2, 72
 #: Hash values that stand in memory at once.
 FLAT = 1 << 20
 #: Words are counted by hash in so many places, to tell texts of other words apart without reading them: up to 255
-#: in each of the few, up to 15 in each of the many, which the last round looks at where the few don't tell.
+#: in each of the few, up to 15 in each of the many, which the last round looks at where the few don't tell. Of the
+#: many a text has about two a word, a power of two.
 TALLIES, WIDE = 128, 4096
 #: First rounds take one of so many parts of the entries, others in each round, and go on while one finds more than
 #: one of so many parts of the most links of a round.
 PORTION, WORTH = 4, 20
 #: Documents that one task compares with each other: crowds beyond it are split.
 CROWD = 1000
+#: Parts of CROWD documents up to which those of crowded entries are compared all with all.
+PARTS = 20
 #: Ids up to which the documents of a later round's pairs are found by a broadcast of their ids (8 bytes each). The
 #: first round's are in proportion to the corpus, so they are joined.
 FEW = 50_000
@@ -92,8 +95,8 @@ def tally(numbers: np.ndarray, places: int = TALLIES, most: int = 255) -> np.nda
 
 
 def wide_tally(numbers: np.ndarray) -> bytes:
-    """tally() of WIDE places, two of them in a byte."""
-    counts = tally(numbers, WIDE, 15)
+    """tally() of up to WIDE places, two of them in a byte."""
+    counts = tally(numbers, min(max(2 * TALLIES, 1 << (2 * len(numbers) - 1).bit_length()), WIDE), 15)
     return (counts[::2] | counts[1::2] << 4).tobytes()
 
 
@@ -185,24 +188,28 @@ def _close(at: int, others: np.ndarray, n: np.ndarray, counts: np.ndarray) -> tu
 
 
 class _Wide:
-    """Wide tallies of a cell's rows, unpacked as they are asked for."""
+    """Wide tallies of a cell's rows, unpacked as they are asked for. Tallies of more places are folded to fewer, which
+    brings them no further apart."""
 
     def __init__(self, packed: pa.ChunkedArray) -> None:
-        self.packed, self.known = packed, np.zeros(len(packed), dtype=bool)
-        self.counts = np.empty((len(packed), WIDE), dtype=np.int8)
+        self.packed, self.folded = packed, {}
 
     def of(self, places: np.ndarray) -> np.ndarray:
-        for k in places[~self.known[places]].tolist():
+        most = min(2 * len(self.packed[k].as_py()) for k in (places[0], places[-1]))  # by words, the least first
+        if most not in self.folded:
+            self.folded[most] = np.zeros(len(self.packed), dtype=bool), np.empty((len(self.packed), most), dtype=np.int16)
+        known, counts = self.folded[most]
+        for k in places[~known[places]].tolist():
             pairs = np.frombuffer(self.packed[k].as_py(), dtype=np.uint8)
-            self.counts[k, ::2], self.counts[k, 1::2] = pairs & 15, pairs >> 4
-            self.known[k] = True
-        return self.counts
+            counts[k] = np.stack([pairs & 15, pairs >> 4], axis=1).reshape(-1, most).sum(axis=0)
+            known[k] = True
+        return counts
 
 
 def _compared(nth: int | None):
     """Pairs (a, b) from rows (cell, part, id, n, c, tally, wide, key, keys) by cell and n: all of different components
-    that can be similar, each in the least key that both documents have; with nth, of each document only the nth
-    nearest of those with no more words, by tally."""
+    that can be similar, each in the least key that both documents have, or in all where keys is null; with nth, of
+    each document only the nth nearest of those with no more words, by tally."""
 
     def pairs_of(rows: pa.Table) -> Iterator[np.ndarray]:
         cells = rows.column(0).to_numpy()
@@ -214,7 +221,7 @@ def _compared(nth: int | None):
                 continue
             counts = np.frombuffer(b"".join(own.column(5).to_pylist()), dtype=np.uint8).reshape(-1, TALLIES).astype(np.int16)
             wide, parted = None, (part != part[0]).any()
-            key, keys = own.column(7)[0].as_py(), {}
+            key, keys, told = own.column(7)[0].as_py(), {}, not own.column(8).null_count
             first = np.searchsorted(n, SIMILARITY * n - 1e-9)
             for at in range(1, hi - lo):
                 others = np.arange(first[at], at)[c[first[at] : at] != c[at]]
@@ -228,10 +235,13 @@ def _compared(nth: int | None):
                 else:
                     wide = wide or _Wide(own.column(6))
                     others, _ = _close(at, others, n, wide.of(np.r_[others, at]))
-                    for k in (at, *others.tolist()) if len(others) else ():
-                        if k not in keys:
-                            keys[k] = frozenset(own.column(8)[k].as_py())
-                    others = others[[min(keys[at] & keys[k]) == key for k in others.tolist()]] if len(others) else others
+                    if not len(others):
+                        continue
+                    if told:
+                        for k in (at, *others.tolist()):
+                            if k not in keys:
+                                keys[k] = frozenset(own.column(8)[k].as_py())
+                        others = others[[min(keys[at] & keys[k]) == key for k in others.tolist()]]
                 yield np.stack([np.minimum(i[others], i[at]), np.maximum(i[others], i[at])])
 
     def found(rows: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -269,22 +279,21 @@ def _compared(nth: int | None):
     return run
 
 
-def _pairs(rows: DataFrame, tallies: DataFrame, nth: int | None) -> DataFrame:
+def _pairs(rows: DataFrame, tallies: DataFrame, nth: int | None, whole: bool = False) -> DataFrame:
     """Pairs (a, b) of documents of rows (key, id, n, c, m) that share a key, m being the key's rows.
 
-    A key of up to CROWD rows is one cell. A larger one is cut into parts by a hash of the id: with nth each part is
-    a cell of its own, by another hash each time; without it any two parts make a cell, so that all pairs meet. The
-    keys of a document, which its rows carry to tell in which key it meets another first, are bounded by its
-    entries, or a fifth of its words.
+    A key of up to CROWD rows is one cell; with whole, all are. A larger one is cut into parts by a hash of the id:
+    with nth each part is a cell of its own, by another hash each time; without it any two parts make a cell, so that
+    all pairs meet. Rows don't carry the other keys of their document, which would grow with the square of its keys:
+    a pair can be found in several keys, and is given once.
     """
     parts = F.ceil(F.col("m") / CROWD).cast("int")
     part = F.pmod(F.xxhash64("id", F.lit(-1 if nth is None else nth)), parts).cast("int")
-    wide, keys = F.lit(None).cast("binary").alias("wide"), F.lit(None).cast("array<long>").alias("keys")
-    if nth is None:
-        wide, keys = F.col("wide"), F.col("keys")
-        tallies = rows.groupBy("id", "n").agg(F.collect_set("key").alias("keys")).join(tallies, ["id", "n"])
+    wide = (F.lit(None).cast("binary") if nth is not None else F.col("wide")).alias("wide")
     rows = rows.select("key", "id", "n", "c", parts.alias("parts"), part.alias("part"))
-    if nth is None:
+    if whole:
+        low, high, part = F.lit(0), F.lit(0), F.lit(0)
+    elif nth is None:
         # a part meets itself in the first cell, with part 0 for all, and each other part in one
         other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
         rows = rows.select("*", other)
@@ -293,6 +302,7 @@ def _pairs(rows: DataFrame, tallies: DataFrame, nth: int | None) -> DataFrame:
     else:
         low, high, part = F.col("part"), F.col("part"), F.lit(0)
     rows = rows.select(F.xxhash64("key", low, high).alias("cell"), part.alias("part"), "id", "n", "c", "key")
+    keys = F.lit(None).cast("array<long>").alias("keys")
     dealt = rows.join(tallies, ["id", "n"]).select("cell", "part", "id", "n", "c", "tally", wide, "key", keys)
     return dealt.repartition("cell").sortWithinPartitions("cell", "n", "id").mapInArrow(_compared(nth), "a long, b long").distinct()
 
@@ -348,6 +358,17 @@ def _by_rare_words(crowd: DataFrame, docs: DataFrame) -> DataFrame:
     return read.mapInArrow(_rare(frequent[order], ranks[order]), "key long, id long, n int, c long")
 
 
+def _crowd_rows(crowd: DataFrame, tallies: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows (key, id, n, c, m) of the documents (id, c) of crowded entries, for all pairs that share a key: one key for
+    all where that makes up to PARTS parts and no more rows than their rarest words do, else a key for each of these."""
+    one = written_table(crowd.join(tallies.select("id", "n"), "id"), "crowd")
+    m, rare = one.agg(F.count("*"), F.sum(F.floor(F.col("n") * (1 - SIMILARITY) + 1e-9) + 1)).first()
+    parts = -(-m // CROWD)
+    if parts <= PARTS and m * parts <= rare:
+        return one.select(F.lit(0).cast("long").alias("key"), "id", "n", "c", F.lit(m).cast("long").alias("m"))
+    return _live(_by_rare_words(crowd, docs))
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)
@@ -386,7 +407,7 @@ def groups(docs: DataFrame) -> DataFrame:
     First rounds compare each document with one of another component in some of the entries, until a round finds few
     links; they only save work, as two of one component need no comparing after. The last round takes every pair
     of different components that shares an entry: in entries of up to CROWD documents directly, those of larger ones
-    by their rarest words, of which near copies share one (see rare_words()). No task compares more than about
+    all with all, or by their rarest words, of which near copies share one (see rare_words()), whichever is less. No task compares more than about
     2 CROWD documents, and none is left out for standing in a crowd.
     """
     spark = docs.sparkSession
@@ -421,9 +442,9 @@ def groups(docs: DataFrame) -> DataFrame:
         found = components(links)
         nth += 1
     crowd = met.where(F.col("m") > CROWD).select("id", "c").distinct()
-    pairs = _pairs(met.where(F.col("m") <= CROWD), tallies, None)
+    pairs = _pairs(met.where(F.col("m") <= CROWD), tallies, None, whole=True)
     if not crowd.isEmpty():
-        pairs = pairs.union(_pairs(_live(_by_rare_words(crowd, rows)), tallies, None)).distinct()
+        pairs = pairs.union(_pairs(_crowd_rows(crowd, tallies, rows), tallies, None)).distinct()
     return components(links.union(_links(pairs, rows)))
 
 

@@ -9,7 +9,7 @@ import pytest
 from tessera.llm.common import components, words
 from tessera.llm.embeddings import filters_of, near_duplicates
 from tessera.llm import orderhash
-from tessera.llm.orderhash import _compared, edit_distance, edits_allowed, keep_one_of_each, near_copies, rare_words, similar, sketch, tally, wide_tally, WIDE
+from tessera.llm.orderhash import _Wide, _compared, _crowd_rows, edit_distance, edits_allowed, keep_one_of_each, near_copies, rare_words, similar, sketch, tally, wide_tally, WIDE
 from tessera.llm.substring import word_numbers
 
 from .conftest import odd_texts, prose
@@ -101,6 +101,32 @@ def test_near_copies_in_parts(spark, monkeypatch):
     assert grouped(spark, texts) == whole
 
 
+def test_crowd_of_common_words(spark, monkeypatch):
+    """A crowd whose rarest words are common too makes no more rows than all with all in parts."""
+    r = random.Random(4)
+    texts = {i: " ".join(f"v{r.randrange(40)}" for _ in range(60)) for i in range(200)}
+    texts |= {i + 200: texts[i].replace(texts[i].split()[7], "zz", 1) for i in range(9)}
+    monkeypatch.setattr(orderhash, "CROWD", 30)
+    docs = spark.createDataFrame(list(texts.items()), "id long, text string")
+    tallies = docs.selectExpr("id", "60 as n")
+    rows = _crowd_rows(docs.selectExpr("id", "id as c"), tallies, docs).selectExpr("count(*) as n", "sum(ceil(m / 30)) as dealt").first()
+    assert (rows.n, rows.dealt) == (209, 209 * 7)
+    split = {i: words(t) for i, t in texts.items()}
+    assert grouped(spark, texts) == closure(split, {i: [j for j in split if j != i and similar(split[i], split[j])] for i in split})
+
+
+def test_wide_tallies_of_several_sizes():
+    """About two places a word; texts of similar length are told apart in the places of the shorter, losing nothing."""
+    assert [len(wide_tally(np.arange(n, dtype=np.uint64))) for n in (5, 60, 128, 129, 512, 513, 9000)] == [128, 128, 128, 256, 512, 1024, 2048]
+    r = random.Random(6)
+    for n in (5, 128, 140, 512, 530, 2100):
+        ws = [b"%d" % r.randrange(400) for _ in range(n)]
+        cut = ws[: n - edits_allowed(n)]
+        numbers = [word_numbers(x) for x in (cut, ws)]
+        counts = _Wide(pa.chunked_array([[wide_tally(x) for x in numbers]])).of(np.array([0, 1]))
+        assert counts.shape[1] == 2 * len(wide_tally(numbers[0])) and np.abs(counts[0] - counts[1]).sum() + n - len(cut) <= 2 * edits_allowed(n)
+
+
 def test_near_copies_of_a_template(spark):
     shared, texts = prose(1, 78).split(), {}
     for i in range(300):

@@ -33,6 +33,8 @@ PORTION, WORTH = 4, 20
 CROWD = 1000
 #: Parts of CROWD documents up to which those of crowded entries are compared all with all.
 PARTS = 20
+#: Documents of a key up to which pairs are given in the last round without looking at their other keys.
+SMALL = 4
 #: Ids up to which the documents of a later round's pairs are found by a broadcast of their ids (8 bytes each). The
 #: first round's are in proportion to the corpus, so they are joined.
 FEW = 50_000
@@ -241,7 +243,7 @@ def _compared(nth: int | None):
                         for k in (at, *others.tolist()):
                             if k not in keys:
                                 keys[k] = frozenset(own.column(8)[k].as_py())
-                        others = others[[min(keys[at] & keys[k]) == key for k in others.tolist()]]
+                        others = others[[min(keys[at] & keys[k], default=key) >= key for k in others.tolist()]]
                 yield np.stack([np.minimum(i[others], i[at]), np.maximum(i[others], i[at])])
 
     def found(rows: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -284,13 +286,18 @@ def _pairs(rows: DataFrame, tallies: DataFrame, nth: int | None, whole: bool = F
 
     A key of up to CROWD rows is one cell; with whole, all are. A larger one is cut into parts by a hash of the id:
     with nth each part is a cell of its own, by another hash each time; without it any two parts make a cell, so that
-    all pairs meet. Rows don't carry the other keys of their document, which would grow with the square of its keys:
-    a pair can be found in several keys, and is given once.
+    all pairs meet. Its rows carry the document's lesser keys, to tell in which key it meets another first; those of
+    keys of up to SMALL documents, most of all and few pairs each, don't, and such a pair can be found several times.
     """
     parts = F.ceil(F.col("m") / CROWD).cast("int")
     part = F.pmod(F.xxhash64("id", F.lit(-1 if nth is None else nth)), parts).cast("int")
     wide = (F.lit(None).cast("binary") if nth is not None else F.col("wide")).alias("wide")
-    rows = rows.select("key", "id", "n", "c", parts.alias("parts"), part.alias("part"))
+    keys = F.lit(None).cast("array<long>")
+    if nth is None:
+        many = rows.where(F.col("m") > SMALL).groupBy("id", "n").agg(F.collect_set("key").alias("keys"))
+        tallies = tallies.join(many, ["id", "n"], "left")
+        keys = F.when(F.col("m") > SMALL, F.filter("keys", lambda x: x < F.col("key")))
+    rows = rows.select("key", "id", "n", "c", "m", parts.alias("parts"), part.alias("part"))
     if whole:
         low, high, part = F.lit(0), F.lit(0), F.lit(0)
     elif nth is None:
@@ -301,9 +308,8 @@ def _pairs(rows: DataFrame, tallies: DataFrame, nth: int | None, whole: bool = F
         part = F.when(F.col("part") == F.col("other"), 0).otherwise(F.col("part") + 1)
     else:
         low, high, part = F.col("part"), F.col("part"), F.lit(0)
-    rows = rows.select(F.xxhash64("key", low, high).alias("cell"), part.alias("part"), "id", "n", "c", "key")
-    keys = F.lit(None).cast("array<long>").alias("keys")
-    dealt = rows.join(tallies, ["id", "n"]).select("cell", "part", "id", "n", "c", "tally", wide, "key", keys)
+    rows = rows.select(F.xxhash64("key", low, high).alias("cell"), part.alias("part"), "id", "n", "c", "key", "m")
+    dealt = rows.join(tallies, ["id", "n"]).select("cell", "part", "id", "n", "c", "tally", wide, "key", keys.alias("keys"))
     return dealt.repartition("cell").sortWithinPartitions("cell", "n", "id").mapInArrow(_compared(nth), "a long, b long").distinct()
 
 

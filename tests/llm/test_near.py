@@ -101,6 +101,18 @@ def test_near_copies_in_parts(spark, monkeypatch):
     assert grouped(spark, texts) == whole
 
 
+def test_compared_without_keys():
+    """Cells of small keys don't know the documents' other keys and leave no pair to them."""
+    one = tally(word_numbers([b"a"] * 60)).tobytes()
+    rows = [(7, 0, i, 60, i, one, wide_tally(word_numbers([b"a"] * 60)), 9, keys) for i, keys in ((1, None), (2, None), (3, None))]
+    names = ["cell", "part", "id", "n", "c", "tally", "wide", "key", "keys"]
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in list(zip(*rows))[:8]] + [pa.nulls(3, pa.list_(pa.int64()))], names=names)
+    assert sum(len(b) for b in _compared(None)(iter([batch]))) == 3
+    # of larger ones the lesser keys are known: a shared one leaves the pair to it
+    batch = batch.set_column(8, "keys", pa.array([[5], [5], []], pa.list_(pa.int64())))
+    assert [tuple(x.values()) for b in _compared(None)(iter([batch])) for x in b.to_pylist()] == [(1, 3), (2, 3)]
+
+
 def test_crowd_of_common_words(spark, monkeypatch):
     """A crowd whose rarest words are common too makes no more rows than all with all in parts."""
     r = random.Random(4)

@@ -15,7 +15,7 @@ from ..functions.aggregates import aggregate
 from ..functions.literals import compare, literal
 from ..plans.analyzer import Analysis
 from ..plans.ast import Aggregate, Column, Condition, Literal
-from ..plans.ordering import components, estimate, order
+from ..plans.ordering import Estimate, components, estimate, order
 from ..sources.statistics import TableStats, plan_bytes, planned
 
 #: Join methods by the names that plans are asked for, as Spark's hints.
@@ -23,6 +23,9 @@ METHODS = {"nested": "shuffle_replicate_nl", "block_nested": "broadcast", "hash"
 #: Estimated bytes of a side up to which it is broadcast on demand, and of both sides of a join up to which each part
 #: of one meets each part of the other; beyond them the method is Spark's choice.
 BROADCAST_BYTES, NESTED_BYTES = 64 << 20, 16 << 20
+#: Rows of a join's result that one task makes, by estimate, and most tasks that a join's input is dealt to for that.
+#: Estimates from compressed files can be of far fewer rows than there are: a repeated table's by a hundred and more.
+SPREAD_ROWS, SPREAD_TASKS = 100_000, 1000
 
 
 def inner_name(c: Column) -> str:
@@ -56,6 +59,20 @@ def hinted(left: DataFrame, right: DataFrame, method: str | None) -> DataFrame:
     return right.hint(METHODS[method]) if method else right
 
 
+def spread(left: DataFrame, right: DataFrame, rows: float, right_rows: float, made: float) -> tuple[DataFrame, DataFrame]:
+    """The sides of a join that makes many rows of few, by estimate: the one of fewer rows is broadcast where its size
+    allows it, the other dealt evenly to tasks, as few files or few keys would leave the result to few of them."""
+    tasks = min(SPREAD_TASKS, int(made / SPREAD_ROWS))
+    few, many = (left, right) if rows < right_rows else (right, left)
+    width = sum(f.dataType.jsonValue() == "string" and 20 or 8 for f in few.schema)
+    if tasks < 2 or made < 10 * max(rows, right_rows) or left.isStreaming or right.isStreaming:
+        return left, right
+    if min(rows, right_rows) * width > BROADCAST_BYTES:
+        return left, right
+    few, many = few.hint("broadcast"), many.repartition(tasks)
+    return (few, many) if rows < right_rows else (many, few)
+
+
 def join_order(done: Analysis, stats: Mapping[str, TableStats]) -> list[list[str]]:
     """The tables of FROM by what conditions tie together, each group in the order that its joins take; the group of
     the fewest estimated rows first, as groups are multiplied."""
@@ -64,9 +81,10 @@ def join_order(done: Analysis, stats: Mapping[str, TableStats]) -> list[list[str
     return sorted(groups, key=lambda g: guess.joined(frozenset(g)))
 
 
-def join_all(parts: Mapping[str, DataFrame], joins: list[Condition], groups: list[list[str]], method: str | None = None) -> DataFrame:
+def join_all(parts: Mapping[str, DataFrame], joins: list[Condition], groups: list[list[str]], method: str | None = None, guess: Estimate | None = None) -> DataFrame:
     """Tables joined in the order of their group; all conditions between them are one join's. Groups are multiplied
-    last, and the product's sides are planned as Spark finds them small or not."""
+    last, and the product's sides are planned as Spark finds them small or not. guess: tells the joins whose sides are
+    dealt out, see spread()."""
     if method is not None and method not in METHODS:
         raise QueryError(f"no join method {method}; there are {', '.join(METHODS)}")
     made = []
@@ -75,7 +93,10 @@ def join_all(parts: Mapping[str, DataFrame], joins: list[Condition], groups: lis
         for name in rest:
             use = [c for c in joins if name in (c.left.table, c.right.table) and {c.left.table, c.right.table} <= have | {name}]
             on = reduce(lambda a, b: a & b, [predicate(out, c) for c in use])
-            out = out.join(hinted(out, parts[name], method), on, "inner")
+            right = hinted(out, parts[name], method)
+            if guess and not method and any(c.operator == "=" for c in use):
+                out, right = spread(out, right, guess.joined(frozenset(have)), guess.rows[name], guess.joined(frozenset(have | {name})))
+            out = out.join(right, on, "inner")
             have.add(name)
         made.append(out)
     return reduce(lambda a, b: a.crossJoin(b), made)
@@ -109,7 +130,10 @@ def build(done: Analysis, tables: Mapping[str, DataFrame], method: str | None =
     """stats: of the tables that have any; the others' are taken from their plans."""
     q = done.query
     parts = {t: filtered(scan(tables[t], t), done.filters.get(t, [])) for t in q.tables}
-    df = join_all(parts, done.joins, known_order(done, tables, stats), method)
+    groups, guess = known_order(done, tables, stats), None
+    if len(q.tables) > 1:
+        guess = estimate({t: (stats or {}).get(t) or planned(tables[t]) for t in q.tables}, done.filters, done.joins)
+    df = join_all(parts, done.joins, groups, method, guess)
     col = lambda x: F.col(f"`{x}`" if isinstance(x, Aggregate) else f"`{inner_name(x)}`")
     aggregates = list(dict.fromkeys(x for x in done.select if isinstance(x, Aggregate)))
     if aggregates:

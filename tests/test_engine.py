@@ -263,3 +263,14 @@ def test_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(map(tuple, spark.table("sums").collect())) == [(0, 6), (1, 9)]
+
+
+def test_joins_that_multiply_are_dealt_out(spark, tmp_path):
+    """A join of few keys makes its result in many tasks, though its tables are one file each."""
+    a, b = spark.range(600_000).selectExpr("id", "id % 25 as k"), spark.range(20_000).selectExpr("id", "id % 25 as k")
+    for name, df in (("a", a), ("b", b), ("n", spark.range(25).selectExpr("id as k"))):
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    engine = Engine(spark, Catalog(spark).parquet(str(tmp_path), "a", "b", "n"))
+    df = engine.sql("SELECT a.id,b.id FROM a,b,n WHERE a.k=b.k,b.k=n.k,a.k=n.k")
+    assert df.count() == 600_000 * 20_000 // 25
+    assert df.rdd.getNumPartitions() > 4
